@@ -114,8 +114,8 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
 
 def repeated(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the documents' own columns, each row as often as its copies say."""
-    held = mix(spark, docs, **settings).filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("_key").alias("_held"), "copies")
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    same = keyed["_key"].eqNullSafe(held["_held"]) & keyed["doc_id"].eqNullSafe(held["_doc"]) & keyed["source"].eqNullSafe(held["_source"])
-    out = keyed.join(held, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    held = mix(spark, docs, **settings).filter("copies > 0").select(F.col("doc_id").alias("_lodestone_doc"), F.col("source").alias("_lodestone_source"), F.col("_key").alias("_lodestone_held"), F.col("copies").alias("_lodestone_copies"))
+    keyed = docs.withColumn("_lodestone_key", text_key(F.col("text")))
+    same = keyed["_lodestone_key"].eqNullSafe(held["_lodestone_held"]) & keyed["doc_id"].eqNullSafe(held["_lodestone_doc"]) & keyed["source"].eqNullSafe(held["_lodestone_source"])
+    out = keyed.join(held, same).withColumn("_lodestone_copy", F.explode(F.sequence(F.lit(1), F.col("_lodestone_copies").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -319,9 +319,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: flo
     found = scratch(near_duplicates(spark, docs, k, threshold), "kept")
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "_key").agg(F.count(F.lit(1)).alias("n"))
     kept = scratch(kept, "kept")
-    mine = kept.select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_same"))
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    out = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["_doc"]) & keyed["_key"].eqNullSafe(mine["_same"]), "left_semi")
+    mine = kept.select(F.col("doc_id").alias("_lodestone_doc"), F.col("_key").alias("_lodestone_same"))
+    keyed = docs.withColumn("_lodestone_key", text_key(F.col("text")))
+    out = keyed.join(mine, keyed["doc_id"].eqNullSafe(mine["_lodestone_doc"]) & keyed["_lodestone_key"].eqNullSafe(mine["_lodestone_same"]), "left_semi")
     if not kept.filter("n > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_key"])
+        out = out.dropDuplicates(["doc_id", "_lodestone_key"])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

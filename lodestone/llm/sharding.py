@@ -90,23 +90,30 @@ def pack(classes: list[tuple[int, int]], capacity: int, most: int | None = None)
 
 
 def pack_into(classes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
-    """The smallest capacity found by bisection for which best-fit-decreasing needs no more than `shards` bins."""
-    total = sum(s * n for s, n in classes)
-    if not total:
-        return []
-    low = max(-(-total // shards), max(s for s, _ in classes))
-    high, best = 2 * low, None
-    while best is None:
-        best = pack(classes, high, shards)
-        high *= 2
-    high //= 2
+    """The smallest capacity found by bisection for which best-fit-decreasing needs no more than `shards` bins.
+
+    A group larger than an equal share of what is left gets a bin of its own first, so that the rest stays even.
+    """
+    left, runs = {s: n for s, n in classes if n}, []
+    while left and len(runs) < shards - 1 and (largest := max(left)) * (shards - len(runs)) > sum(s * n for s, n in left.items()):
+        runs.append((largest, len(runs), 1))
+        left[largest] -= 1
+        if not left[largest]:
+            del left[largest]
+    rest, own = sorted(left.items()), len(runs)
+    if not rest:
+        return runs
+    low = max(-(-sum(s * n for s, n in rest) // (shards - own)), rest[-1][0])
+    high, best = low, None
+    while not (best := pack(rest, high, shards - own)):
+        high += max(1, low // 64)
     while low < high:
         middle = (low + high) // 2
-        if runs := pack(classes, middle, shards):
-            best, high = runs, middle
+        if found := pack(rest, middle, shards - own):
+            best, high = found, middle
         else:
             low = middle + 1
-    return best
+    return runs + [(s, b + own, n) for s, b, n in best]
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
