@@ -418,6 +418,9 @@ def test_attention_is_causal_and_sums_to_one():
     p = np.exp(model.log_p(np.repeat(z, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY)).astype(np.float64))
     assert math.isclose(p[0] * 50_257 + p[1:].sum(), 1.0, rel_tol=1e-4)
     a = np.random.default_rng(3).integers(10, 900, 20)
+    x = np.random.default_rng(8).integers(0, 900, (3, lm.CONTEXT))
+    rows = np.array([0, 5, 31, 40, 95])
+    assert np.allclose(model.hidden_at(x, rows), model.hidden(x)[rows], rtol=1e-3, atol=1e-3)
     whole, part = (model.score([x])[0] for x in (a, np.r_[a[:10], a[:10]]))
     assert whole != part
 
