@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,8 +41,24 @@ _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _SPACE = re.compile("[ \t\r\n]+")
 
 
+#: A run of Latin letters, and marks that may follow; each is one piece to the pre-tokenizer, and letters fold one by one.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in plain)
+    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return [letter[b] for b in range(256)]
+
+
 class Encoder:
-    """A tokenizers file whose pre-tokenizer never joins words over white space: words are encoded once and kept."""
+    """A tokenizers file whose pre-tokenizer never joins words over white space: words are encoded once and kept.
+
+    Runs of Latin letters go to the file's model at once, as the byte-level letters that its pre-tokenizer makes of
+    them; all other words take the whole way through normalizer and pre-tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -49,17 +66,42 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.runs = Tokenizer.from_file(path), {}, {}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _whole(self, words: list[str]) -> None:
+        for i in range(0, len(words), 8192):
+            some = words[i : i + 8192]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self.known[word] = array("I", got.ids).tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        rest, simple, marks = [], [], set()
+        for word in new:
+            if m := _SIMPLE.fullmatch(word):
+                simple.append((word, m[1].lower(), m[2]))
+                if m[2]:
+                    marks.add(m[2])
+            else:
+                rest.append(word)
+        self._whole(rest + [m for m in marks if m not in self.known])
+        known, runs, tokenize, letters = self.known, self.runs, self.model.tokenize, self.letters
+        if len(runs) + len(simple) > CACHED_WORDS:
+            runs.clear()
+        for word, run, mark in simple:
+            got = runs.get(run)
+            if got is None:
+                plain = run if run.isascii() else "".join([letters[b] for b in run.encode()])
+                got = runs[run] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+            known[word] = got + known[mark] if mark else got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [[w for w in _SPACE.split(t) if w] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        new = list({w for words in cut for w in words}.difference(self.known))
+        all_words = set().union(*cut)
+        new = all_words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, list({w for words in cut for w in words})
-        for i in range(0, len(new), 8192):
-            some = new[i : i + 8192]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, np.uint32).tobytes()
+            self.known, new = {}, all_words
+        self._learn(list(new))
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in cut]
 
