@@ -34,8 +34,8 @@ from .common import column, partitions, scratch_path, ship, slices, texts_of
 
 FRAME_IDS = 65_536
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-#: Words whose ids one Python process keeps.
-CACHED_WORDS = 250_000
+#: Words whose ids one Python process keeps: so many lately met, and the generation before them.
+CACHED_WORDS = 200_000
 #: White space besides ASCII's own five; str.split() and the tokenizer's pattern may differ on it.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _SPACE = re.compile("[ \t\r\n]+")
@@ -66,7 +66,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.runs = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.known, self.runs, self.old, self.old_runs = Tokenizer.from_file(path), {}, {}, {}, {}
         self.model, self.letters = self.tokenizer.model, _byte_letters()
 
     def _whole(self, words: list[str]) -> None:
@@ -76,23 +76,28 @@ class Encoder:
                 self.known[word] = array("I", got.ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        rest, simple, marks = [], [], set()
+        rest, simple, marks, old = [], [], set(), self.old
         for word in new:
-            if m := _SIMPLE.fullmatch(word):
+            if word in old:
+                self.known[word] = old[word]
+            elif m := _SIMPLE.fullmatch(word):
                 simple.append((word, m[1].lower(), m[2]))
                 if m[2]:
                     marks.add(m[2])
             else:
                 rest.append(word)
         self._whole(rest + [m for m in marks if m not in self.known])
-        known, runs, tokenize, letters = self.known, self.runs, self.model.tokenize, self.letters
-        if len(runs) + len(simple) > CACHED_WORDS:
-            runs.clear()
+        if len(self.runs) + len(simple) > CACHED_WORDS:
+            self.runs, self.old_runs = {}, self.runs
+        known, runs, old, tokenize, letters = self.known, self.runs, self.old_runs, self.model.tokenize, self.letters
         for word, run, mark in simple:
             got = runs.get(run)
             if got is None:
-                plain = run if run.isascii() else "".join([letters[b] for b in run.encode()])
-                got = runs[run] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+                got = old.get(run)
+                if got is None:
+                    plain = run if run.isascii() else "".join([letters[b] for b in run.encode()])
+                    got = array("I", [t.id for t in tokenize(plain)]).tobytes()
+                runs[run] = got
             known[word] = got + known[mark] if mark else got
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -100,7 +105,7 @@ class Encoder:
         all_words = set().union(*cut)
         new = all_words.difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, new = {}, all_words
+            self.known, self.old, new = {}, self.known, all_words
         self._learn(list(new))
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in cut]
