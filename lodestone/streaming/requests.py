@@ -17,13 +17,10 @@ def request_rate(events: DataFrame, window: str = "1 minute", late: str = "1 min
 
 
 def admit(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
-    """(key, event_id, admitted): sliding admission; a key's state is its last `limit` admitted times, dropped when idle."""
+    """(key, event_id, admitted): sliding admission; a key's state is its last `limit` admitted times."""
     held = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
 
     def run(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         times = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(pdfs)).sort_values(["at", "event_id"])
         out = []
@@ -33,8 +30,7 @@ def admit(events: DataFrame, key: str, limit: int, seconds: int) -> DataFrame:
             if out[-1]:
                 times.append(int(at))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
         yield pd.DataFrame({key: pdf[key], "event_id": pdf["event_id"], "admitted": out})
 
     kind = held.schema[key].dataType.simpleString()
-    return held.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return held.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
