@@ -37,6 +37,8 @@ BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 1024, 1024, 32 << 20
 #: Elements whose ranks are drawn at a time.
 CHUNK = 1 << 15
 FILTER_WORDS = 1 << 19
+#: Where a node's bits choose a word and a bit of it, twice.
+FILTER_BITS = ((0, 40), (20, 46))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -218,15 +220,23 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the nodes, two bits each."""
-    bits = nodes.select(F.explode(F.array(F.xxhash64("node"), F.xxhash64("node", F.lit(1)))).alias("h"))
-    words_ = bits.select(F.pmod("h", F.lit(FILTER_WORDS)).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("h", 40), F.lit(64)).cast("int")).alias("x"))
+    """A Bloom filter of fixed size over the nodes, two bits each; nodes are hashes, so parts of their own bits choose."""
+    places = [F.struct(F.pmod(F.shiftright("node", word), F.lit(FILTER_WORDS)).alias("w"), F.pmod(F.shiftright("node", bit), F.lit(64)).cast("int").alias("bit")) for word, bit in FILTER_BITS]
+    words_ = nodes.select(F.explode(F.array(*places)).alias("at")).select("at.w", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at.bit")).alias("x"))
     held = words_.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
     out = np.zeros(FILTER_WORDS, np.int64)
     out[held["w"].to_numpy()] = held["x"].to_numpy()
     return out
 
 
+def _admitted(nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which nodes the filter admits."""
+    keep = np.ones(len(nodes), bool)
+    for word, bit in FILTER_BITS:
+        keep &= (bits[(nodes >> word) % FILTER_WORDS] >> ((nodes >> bit) % 64)) & 1 == 1
+    return keep
+
+
 def linked(sets: list[np.ndarray], threshold: float, cut: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the exact links; with `cut`, of those between the first `cut` sets and the rest."""
     n, percent = len(sets), round(threshold * 100)
@@ -263,27 +273,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     bits = spark.sparkContext.broadcast(_filter_bits(families))
 
     def sets_of(batches):
-        import pandas as pd
-
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, offsets in slices(texts_of(batch)):
                 sets = shingle_sets(data, offsets, k)
-                rows = [(node, s.tobytes()) for node, s in zip(_nodes(sets), sets) if node is not None and node not in seen and not seen.add(node)]
-                if rows:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["node", "members"]), schema=pa.schema([("node", pa.int64()), ("members", pa.binary())]), preserve_index=False)
-
-    def hits(batches):
-        """Rows that the filter admits; Spark's own hash is made beside."""
-        for batch in batches:
-            keep = np.ones(len(batch), bool)
-            for name in ("h0", "h1"):
-                h = np.asarray(column(batch, name))
-                keep &= (bits.value[h % FILTER_WORDS] >> ((h >> 40) % 64)) & 1 == 1
-            yield batch.filter(pa.array(keep)).select(["node", "members"])
-
-    found = docs.select("text").mapInArrow(sets_of, "node long, members binary").select("node", "members", F.xxhash64("node").alias("h0"), F.xxhash64("node", F.lit(1)).alias("h1"))
-    found = found.mapInArrow(hits, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+                rows = {node: members for node, members in zip(_nodes(sets), sets) if node is not None and node not in seen}
+                seen |= rows.keys()
+                nodes_ = np.array(list(rows), np.int64)
+                kept = nodes_[_admitted(nodes_, bits.value)].tolist()
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([rows[node].tobytes() for node in kept], pa.binary())], names=["node", "members"])
+
+    found = docs.select("text").mapInArrow(sets_of, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
     found = scratch(found.join(families, "node"), "members")
     sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("members")).alias("size"))
     blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("size") / FAMILY_BYTES)).cast("int")
