@@ -14,7 +14,7 @@ table gives no rows. Other columns are not looked at.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,18 +62,18 @@ def balance(cells: DataFrame, target: np.ndarray, steps: int = 50, tolerance: fl
     return lam
 
 
-def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
+def _rounded(table: pa.Table) -> pa.Table:
     """Copies of one source's size classes: `base` for each row and one more for the first `extra`."""
-    pdf = pdf.sort_values("_class", ascending=False)
+    table = table.sort_by([("_class", "descending")])
     due, taken, base, extra = 0.0, 0.0, [], []
-    for n, words, rate, cap in zip(pdf["n"], pdf["words"], pdf["rate"], pdf["cap"]):
+    for n, words, rate, cap in zip(*(table[c].to_pylist() for c in ("n", "words", "rate", "cap"))):
         due += rate * words
         mean = words / n
         copies = int(np.clip(np.floor((due - taken) / mean + 0.5) if mean else np.floor(rate * n + 0.5), 0, int(cap) * n))
         taken += copies * mean
         base.append(copies // n)
         extra.append(copies % n)
-    return pd.DataFrame({"_src": pdf["_src"], "_class": pdf["_class"], "base": base, "extra": extra})
+    return table.select(["_src", "_class"]).append_column("base", pa.array(base, pa.int64())).append_column("extra", pa.array(extra, pa.int64()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
@@ -104,7 +104,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (1, 2
     rows = [(s, int(w), float(t), float(r), int(cap)) for (s, w), t, r in zip(found, target, rate)]
     rates = F.broadcast(spark.createDataFrame(rows, "_src string, source_size long, target double, rate double, cap int"))
     histogram = units.groupBy("_src", "_class").agg(F.count(F.lit(1)).alias("n"), F.sum("_words").alias("words"))
-    plan = histogram.join(rates, "_src").groupBy("_src").applyInPandas(_rounded, "_src string, _class long, base long, extra long")
+    plan = histogram.join(rates, "_src").groupBy("_src").applyInArrow(_rounded, "_src string, _class long, base long, extra long")
     plan = scratch(plan, "copies")
     ranked = numbered(units, ["_src", "_class"], ["_order", "doc_id", "_key"], "_rank")
     ranked = ranked.join(plan, ["_src", "_class"]).join(rates, "_src")
