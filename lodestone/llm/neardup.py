@@ -292,6 +292,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
     dealt = found.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("family", "node", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    dealt = dealt.repartition("family", "low", "high")  # else the join's dealing by family alone would do
 
     def verify(table: pa.Table) -> pa.Table:
         node, block = table["node"].to_numpy(), table["block"].to_numpy()
