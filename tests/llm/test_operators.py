@@ -390,6 +390,16 @@ def test_scoring(spark, docs, rows, empty):
     assert lm.score(spark, empty, path, pattern).count() == 0
 
 
+def test_model_learns_from_all_training_documents(spark, docs, rows):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    two = docs.select("doc_id", "text")
+    model = lm.train(spark, two, lm.encode(two, path, pattern, 4)[1], path, pattern)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    assert model.learned == sum(len(lm.subwords(path, pattern).encode_ordinary(t or "")) + 1 for d, t, _, _ in rows if not held(d))
+
+
 def test_attention_gradient_and_windows():
     model = lm.Attention(np.arange(10, 900), 50_257)
     given = [np.random.default_rng(1).integers(0, 1200, n) for n in (5, 40, 90, 0)]
