@@ -400,6 +400,25 @@ def test_model_learns_from_all_training_documents(spark, docs, rows):
     assert model.learned == sum(len(lm.subwords(path, pattern).encode_ordinary(t or "")) + 1 for d, t, _, _ in rows if not held(d))
 
 
+def test_vocabulary_is_that_of_all_training_documents(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    minor = next(i for i in range(50, 99) if not held(i))
+    texts = {i: "the house of water " * 5 for i in range(50)} | {minor: "zebra quark " * 2500}  # longer than any text of the first sample
+    two = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    encode = lm.subwords(path, pattern).encode_ordinary
+    model = lm.train(spark, two, lm.encode(two, path, pattern, 4)[1], path, pattern)
+    assert len(texts[minor]) > lm.SEED_CHARS and all(model.place[i] for i in encode(texts[minor]))
+    counts = np.zeros(50_257, np.int64)
+    counts[[20, 21]] = 30, 10
+    few = lm.Attention(np.array([10]), 50_257, counts=counts)
+    often, rarely, never = (few.score([np.array([i])])[0] for i in (20, 21, 22))
+    assert math.isclose(often - rarely, math.log10(30.5 / 10.5), abs_tol=1e-4) and never < rarely
+    assert math.isclose(np.exp(few.extra[few.place[:-1] == 0].astype(np.float64)).sum() / 50_257, 1.0, rel_tol=1e-4)
+
+
 def test_attention_gradient_and_windows():
     model = lm.Attention(np.arange(10, 900), 50_257)
     given = [np.random.default_rng(1).integers(0, 1200, n) for n in (5, 40, 90, 0)]
