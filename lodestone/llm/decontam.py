@@ -9,9 +9,10 @@ each, found by their own length's hash.
 The benchmark's index goes to the executors in blocks of a bounded number of words (usually one). With more blocks,
 the documents pass each in turn and carry what was found, written to the shared folder in between.
 
-Nulls and edge cases: a null or empty text (on either side) has no words and no hits. Items without an id are not
-listed; items that repeat an id count as one. Repeated document rows get the same result each. An empty documents
-table gives no rows, an empty benchmark no hits. All columns of the documents pass through; `decon` is added.
+Nulls and edge cases: a null or empty text (on either side) has no words and no hits. Items without an id hit words as
+others do, and only the list of ids lacks them; items that repeat an id count as one. Repeated document rows get the
+same result each. An empty documents table gives no rows, an empty benchmark no hits. All columns of the documents pass
+through; `decon` is added.
 """
 
 from __future__ import annotations
@@ -91,8 +92,9 @@ class Windows:
 class Index:
     """A block of the benchmark: its words' hashes, fingerprints, full windows and short items."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.ids = np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str]) -> None:
+        self.named = np.array([i is not None for i in ids], bool)
+        self.ids = np.array([0 if i is None else i for i in ids], np.int64)
         data = pa.array(texts, pa.large_string())
         parts = [words(d, o, ALNUM) for _, _, d, o in slices(data, 1 << 40)]
         self.words, begins = parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
@@ -168,7 +170,8 @@ def _searcher(index: Index, carried: bool):
                 a, b = begins[r], begins[r + 1]
                 n_words.append(int(b - a))
                 n_hit.append(int(hit[r]))
-                found = set(index.ids[item[order[cuts[r] : cuts[r + 1]]]].tolist())
+                which = item[order[cuts[r] : cuts[r + 1]]]
+                found = set(index.ids[which[index.named[which]]].tolist())
                 found.update((before[i + r] or {}).get("item_ids") or ())
                 ids.append(sorted(found))
                 edge = np.flatnonzero(np.diff(np.r_[False, covered[a:b], False])) if hit[r] else np.zeros(0, np.int64)
@@ -180,7 +183,7 @@ def _searcher(index: Index, carried: bool):
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents with `decon`: n_words, n_hit, item_ids (sorted), spans (start and end word of each run that is hit, in turn)."""
-    items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
     out = docs

@@ -127,6 +127,15 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.decontaminate(spark, docs, bench.filter("false")).filter("decon.n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_hit_and_are_not_listed(spark):
+    passage = " ".join(f"quiz{j}" for j in range(20))
+    two = spark.createDataFrame([(1, "before " + passage + " after"), (2, "an odd riddle"), (3, "named one and an odd riddle"), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "odd riddle"), (5, "named one"), (0, "absent here")], "item_id long, text string")
+    for block_words in (400_000, 3):
+        out = decontam.decontaminate(spark, two, bench, block_words).withColumn("bad", decontam.contaminated()).orderBy("doc_id").collect()
+        assert [(r["decon"]["n_hit"], r["decon"]["item_ids"], r["bad"]) for r in out] == [(20, [], True), (2, [], True), (4, [5], True), (0, [], False)]
+
+
 def test_winnowing_guarantee():
     draw = np.random.default_rng(2)
     for _ in range(50):
