@@ -8,14 +8,15 @@ table passes through as one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, langid, mixing, neardup, sharding
 from lodestone.llm.common import scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
-    return langid.identify(spark, docs).filter("language.lang_pred <> 'und'").drop("language")
+    """Documents with a letter; where nothing is labelled, their language stays open and they stay."""
+    return langid.identify(spark, docs).filter((F.col("language.lang_pred") != "und") | langid.has_letter()).drop("language")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,11 +5,12 @@ kernel, normalised. The Nyström method with landmark texts of each language giv
 rest ridge regression in them a score for each language. Landmark n-grams are numbered once; a batch of texts becomes
 a presence matrix, and all else is matrix products.
 
-The classifier is fitted on a bounded sample: PER_LANGUAGE rows for each language at most, those whose hashed id is
-smallest among rows of MAX_TRAIN_CHARS characters or fewer. Predictions read whole texts.
+The classifier is fitted on a bounded sample: of each language the PER_LANGUAGE rows with a letter whose hashed id is
+smallest, all of them where there are fewer. Texts of any length take part whole: tasks send the driver the distinct
+n-grams of a sampled text, not the text. Predictions read whole texts.
 
 Nulls and edge cases: a null text or one without letters is `und` with score 0; so is every text where no labelled
-row exists. Rows without a language are never learned from. Repeated rows get the same result each; an empty table
+row with a letter exists. Rows without a language are never learned from. Repeated rows get the same result each; an empty table
 gives no rows. All columns pass through; `language` is added (or replaced).
 """
 
@@ -23,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_of, with_struct
+from .common import column, ship, slices, texts_of, with_struct
 
-PER_LANGUAGE, LANDMARKS, MAX_TRAIN_CHARS, MAX_LANGUAGES, RIDGE = 400, 64, 20_000, 256, 1e-3
+PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 64, 256, 1e-3
 #: Letters keep their (lower-cased) byte, all other ASCII is one blank.
 FOLD = np.zeros(256, np.uint32)
 FOLD[97:123] = np.arange(97, 123)
@@ -43,6 +44,7 @@ def codes(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 TOP = (1 << 8) + (1 << 16) + (1 << 24)
+BLANK = np.array([0, 1 << 8, (1 << 8) + (1 << 16)])
 
 
 @dataclass
@@ -62,7 +64,7 @@ def presence(texts: pa.Array, table: np.ndarray, n: int):
     """(first row, normalised presence matrix, whether each text has a letter) for runs of texts."""
     for i, j, data, offsets in slices(texts, 1 << 19):
         folded = FOLD[data]
-        got = [table[c] for c in codes(folded)] if len(folded) >= 3 else [table[c] if len(c) else c.astype(np.uint16) for c in codes(np.r_[folded, np.zeros(3, np.uint32)])]
+        got = [table[c] for c in codes(folded)] if len(folded) >= 3 else [table[c] if len(c) else c.astype(table.dtype) for c in codes(np.r_[folded, np.zeros(3, np.uint32)])]
         for a in range(i, j, 128):
             b = min(j, a + 128)
             x = np.zeros((b - a, n + 1), np.float32)
@@ -79,40 +81,49 @@ def presence(texts: pa.Array, table: np.ndarray, n: int):
             yield a, x, letters
 
 
-def fit(texts: list[str], labels: list[str]) -> Model | None:
-    """texts: the sample, in an order that does not depend on the run."""
+def _rows(texts: list[np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
+    """The normalised presence matrix of texts that are given by their n-grams."""
+    x = np.zeros((len(texts), n + 1), np.float32)
+    for row, found in zip(x, texts):
+        row[table[found]] = 1
+    x = x[:, 1:]
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
+
+def grams_of(text: str) -> np.ndarray:
+    """The distinct n-grams of a text, but for those of blanks alone."""
+    folded = FOLD[np.frombuffer(text.encode(), np.uint8)]
+    found = np.unique(np.concatenate([c[: max(0, len(folded) - k)] for k, c in enumerate(codes(np.r_[folded, np.zeros(2, np.uint32)]))]))
+    return found[~np.isin(found, BLANK)]
+
+
+def fit(texts: list[np.ndarray], labels: list[str]) -> Model | None:
+    """texts: the n-grams of the sample's texts, in an order that does not depend on the run."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    texts_arrow = pa.array(texts, pa.large_string())
     marks, seen = [], dict.fromkeys(languages, 0)
     for i, label in enumerate(labels):
         if seen[label] < LANDMARKS:
             seen[label] += 1
             marks.append(i)
     found = np.zeros(TOP, bool)
-    for _, _, data, offsets in slices(texts_arrow.take(pa.array(marks)), 1 << 19):
-        folded = FOLD[data]
-        for a, b in zip(offsets[:-1], offsets[1:]):
-            for k, c in enumerate(codes(np.r_[folded[a:b], np.zeros(2, np.uint32)])):
-                found[c[: max(0, b - a - k)]] = True
-    blank = np.array([0, 1 << 8, (1 << 8) + (1 << 16)])
-    found[blank] = False
+    for i in marks:
+        found[texts[i]] = True
     grams = np.flatnonzero(found)
-    if not len(grams) or len(grams) >= 65_535:
-        counts_limit = 65_534
-        grams = grams[:counts_limit]
+    if len(grams) >= 65_535:
+        grams = grams[:65_534]
     model = Model(languages, grams, np.zeros((0, 0)), np.zeros((0, 0)))
     table = model.table()
-    x = np.concatenate([m for _, m, _ in presence(texts_arrow, table, len(grams))])
-    landmarks = x[marks]
+    landmarks = _rows([texts[i] for i in marks], table, len(grams))
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1] if len(values) and values[-1] > 0 else np.zeros(len(values), bool)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.c_[(x @ landmarks.T).astype(np.float64) @ root, np.ones(len(x))]
+    kernel = np.concatenate([_rows(texts[i : i + 128], table, len(grams)) @ landmarks.T for i in range(0, len(texts), 128)])
+    phi = np.c_[kernel.astype(np.float64) @ root, np.ones(len(texts))]
     y = np.array([[float(label == lang) for lang in languages] for label in labels])
     balance = np.array([1 / labels.count(lang) for lang in languages])[[languages.index(label) for label in labels]][:, None] * len(labels) / len(languages)
-    weights = np.linalg.solve(phi.T @ (balance * phi) + RIDGE * len(x) * np.eye(phi.shape[1]) / len(languages), phi.T @ (balance * y))
+    weights = np.linalg.solve(phi.T @ (balance * phi) + RIDGE * len(texts) * np.eye(phi.shape[1]) / len(languages), phi.T @ (balance * y))
     model.landmarks, model.weights = landmarks, np.r_[root @ weights[:-1], weights[-1:]].astype(np.float32)
     return model
 
@@ -121,21 +132,53 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
+def has_letter() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def _smallest():
+    """Of a task's rows, the PER_LANGUAGE of smallest hash in each language, as n-grams."""
+
+    def cut(held: list) -> list:
+        return sorted(held, key=lambda x: x[:2])[:PER_LANGUAGE]
+
+    def run(batches):
+        taken: dict[str, list[tuple[int, bytes]]] = {}
+        for batch in batches:
+            texts = column(batch, "text")
+            for r, (lang, h) in enumerate(zip(column(batch, "lang").to_pylist(), column(batch, "h").to_pylist())):
+                held = taken.setdefault(lang, [])
+                held.append((h, grams_of(texts[r].as_py()).astype(np.uint32).tobytes()))
+                if len(held) >= 2 * PER_LANGUAGE:
+                    taken[lang] = cut(held)
+        for lang, held in taken.items():
+            some = cut(held)
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(some), "h": [h for h, _ in some], "grams": pa.array([g for _, g in some], pa.binary())})
+
+    return run
+
+
 def train(docs: DataFrame, usable: Column) -> Model | None:
-    """Fit on the bounded sample of the rows that `usable` admits and that have a language."""
-    rows = docs.filter(F.coalesce(usable, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= MAX_TRAIN_CHARS))
-    rows = rows.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    counts = {r["lang"]: r["n"] for r in docs.filter(F.coalesce(usable, F.lit(True)) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    """Fit on the bounded sample of the rows that `usable` admits and that have a language and a letter."""
+    ship(docs.sparkSession)
+    rows = docs.filter(F.coalesce(usable, F.lit(True)) & F.col("lang").isNotNull() & has_letter())
+    rows = rows.select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
-    if not counts:
-        return None
-    bound = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(2**63 - 1, -(2**63) + int(1.5 * PER_LANGUAGE / n * 2**64)))])
-    taken: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.filter(F.col("h") <= F.element_at(bound, F.col("lang"))).collect():
-        taken.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    sample = sorted((h, text, lang) for lang, held in taken.items() for h, text in sorted(held)[:PER_LANGUAGE])
-    return fit([text for _, text, _ in sample], [lang for _, _, lang in sample])
+    sample: dict[str, list[tuple[int, bytes]]] = {}
+    left, share = set(counts), 1.5
+    while left:  # a language of which the hashes below its bound are too few is asked again with a wider one
+        bound = {lang: min(2**63 - 1, -(2**63) + int(share * PER_LANGUAGE / counts[lang] * 2**64)) for lang in sorted(left)}
+        below = F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for item in bound.items() for x in item]), F.col("lang"))
+        taken: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in left}
+        for r in rows.filter(F.col("lang").isin(*left) & below).mapInArrow(_smallest(), "lang string, h long, grams binary").collect():
+            taken[r["lang"]].append((r["h"], bytes(r["grams"])))
+        done = {lang for lang in left if len(taken[lang]) >= min(PER_LANGUAGE, counts[lang]) or bound[lang] == 2**63 - 1}
+        sample |= {lang: sorted(taken[lang])[:PER_LANGUAGE] for lang in done}
+        left, share = left - done, 8 * share
+    ordered = sorted((h, grams, lang) for lang, held in sample.items() for h, grams in held)
+    return fit([np.frombuffer(grams, np.uint32) for _, grams, _ in ordered], [lang for _, _, lang in ordered])
 
 
 def identify(spark: SparkSession, docs: DataFrame, usable: Column | None = None) -> DataFrame:

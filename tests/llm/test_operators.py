@@ -167,6 +167,19 @@ def test_language(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in langid.identify(spark, docs, F.lit(False)).select("language.*").collect()} == {"und"}
 
 
+def test_language_learns_from_long_and_rare_usable_texts(spark):
+    import corpus_pipeline
+
+    rows_ = [(i, "der wald und die wiese " * 1000, "de") for i in range(600)]  # 23,000 characters each
+    rows_ += [(1000 + i, f"the green house of water {i}", "en") for i in range(40)] + [(2000 + i, "|| 12", "en") for i in range(3000)]
+    rows_ += [(None, f"la maison de mon ami {i}", "fr") for i in range(500)]
+    two = spark.createDataFrame(rows_, "doc_id long, text string, lang string").repartition(4)
+    out = langid.identify(spark, two).filter("text NOT LIKE '||%'").select("lang", "language.lang_pred").distinct().collect()
+    assert {(r["lang"], r["lang_pred"]) for r in out} == {("de", "de"), ("en", "en"), ("fr", "fr")}
+    bare = spark.createDataFrame([(1, "words here", None), (2, "été", None), (3, "12 |", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {1, 2}
+
+
 def test_presence_is_that_of_sets():
     import pyarrow as pa
 
