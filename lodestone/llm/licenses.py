@@ -3,7 +3,8 @@
 A document's words stream through the automaton. At each word it knows the longest suffix of the words so far that
 stands in some template (the matching statistic). Words of no template reset it, so only runs of template words are
 walked. Matches of MIN_MATCH words or more are chained in order for each template, and a template is found if its
-chain covers enough of it. Base phrases are templates of their own; each place where one stands is counted.
+chain covers enough of it. Each place where a template stands is a span: the best chain's words are taken out and the
+rest is chained anew, and a chain is cut where the template goes back if both sides cover enough. Base phrases are templates of their own; each place where one stands is counted.
 
 Nulls and edge cases: a null or empty text has no words, no places and no labels. Repeated rows get the same result
 each. An empty table gives no rows. All columns pass through; `licence` is added (or replaced).
@@ -93,6 +94,63 @@ class SuffixAutomaton:
         return state
 
 
+def _best(hits: list[tuple[int, int, int]], total: int) -> tuple[int, int, int]:
+    """Words that the best chain covers, with its first and end word in the document; of equal ones the closest, and of those a middle one.
+
+    hits: sorted (end word, end in the template, length). They are chained in the order of the document and of the
+    template; overlaps count once.
+    """
+    if not hits:
+        return 0, 0, 0
+    at, ends = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
+    covered, firsts = np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64)
+    low = np.searchsorted(at, at - 4 * total)
+    for k, (end, e, size) in enumerate(hits):
+        covered[k], firsts[k] = size, end - size
+        near = low[k] + np.flatnonzero((ends[low[k] : k] < e) & (at[low[k] : k] < end))
+        if len(near):
+            gain = np.minimum(size, np.minimum(e - ends[near], end - at[near])) + covered[near]
+            most = gain.max()
+            if most > size:
+                covered[k], firsts[k] = most, firsts[near[gain == most]].max()
+    top = np.flatnonzero(covered == covered.max())
+    top = top[(at - firsts)[top] == (at - firsts)[top].min()]
+    k = int(top[len(top) // 2])
+    return int(covered[k]), int(firsts[k]), hits[k][0]
+
+
+def _clip(hits: list[tuple[int, int, int]], first: int, end: int) -> list[tuple[int, int, int]]:
+    """What of the hits stands in the document's words first to end."""
+    out = []
+    for at, e, size in hits:
+        over, under = max(0, at - end), max(0, first - (at - size))
+        if size > over + under:
+            out.append((at - over, e - over, size - over - under))
+    return sorted(out)
+
+
+def _spans(hits: list[tuple[int, int, int]], total: int, top: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """First and end word of all chains that cover enough, in order; no two overlap."""
+    out, left = [], [(hits, top)]
+    while left:
+        hits, (covered, first, end) = left.pop()
+        if covered / total < COVERED:
+            continue
+        inside = _clip(hits, first, end)
+        parts = []
+        for (_, e, _), (at, e_next, size_next) in zip(inside, inside[1:]):
+            if e_next - size_next < e:  # the template goes back
+                parts = [(p, _best(p, total)) for p in (_clip(hits, 0, at - size_next), _clip(hits, at - size_next, hits[-1][0]))]
+                if all(best[0] / total >= COVERED for _, best in parts):
+                    break
+                parts = []
+        if not parts:
+            out.append((first, end))
+            parts = [(p, _best(p, total)) for p in (_clip(hits, 0, first), _clip(hits, end, hits[-1][0]))]
+        left += parts
+    return sorted(out)
+
+
 class Scanner:
     def __init__(self) -> None:
         names = [*TEMPLATES, *PHRASES]
@@ -143,11 +201,8 @@ class Scanner:
             found.append((previous + 1, size, state))
         return found, places
 
-    def chain(self, found: list[tuple[int, int, int]]) -> dict[int, tuple[float, int, int]]:
-        """For each template the share that the best chain covers, with its first and end word in the document.
-
-        Matches are chained in the order of the document and of the template; overlaps count once.
-        """
+    def chain(self, found: list[tuple[int, int, int]]) -> dict[int, tuple[float, list[tuple[int, int]]]]:
+        """For each template the share that the best chain covers, and first and end word of each chain that covers enough."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in found:
             for which, ends in self.automaton.places[state].items():
@@ -156,20 +211,8 @@ class Scanner:
         out = {}
         for which, hits in by.items():
             total, hits = len(self.sequences[which]), sorted(hits)
-            at, ends = np.array([h[0] for h in hits]), np.array([h[1] for h in hits])
-            covered, firsts = np.zeros(len(hits), np.int64), np.zeros(len(hits), np.int64)
-            low = np.searchsorted(at, at - 4 * total)
-            for k, (end, e, size) in enumerate(hits):
-                covered[k], firsts[k] = size, end - size
-                near = low[k] + np.flatnonzero((ends[low[k] : k] < e) & (at[low[k] : k] < end))
-                if len(near):
-                    gain = np.minimum(size, np.minimum(e - ends[near], end - at[near])) + covered[near]
-                    b = int(np.argmax(gain))
-                    if gain[b] > size:
-                        covered[k], firsts[k] = gain[b], firsts[near[b]]
-            k = int(np.argmax(covered))
-            top = (int(covered[k]), int(firsts[k]), hits[k][0])
-            out[which] = (min(1.0, top[0] / total), top[1], top[2])
+            top = _best(hits, total)
+            out[which] = (min(1.0, top[0] / total), _spans(hits, total, top) if top[0] / total >= COVERED else [])
         return out
 
     def batch(self, batch: pa.RecordBatch) -> list[pa.Array]:
@@ -192,9 +235,9 @@ class Scanner:
                 found, places = self.matches(token[a:b].tolist(), (known[a:b] - begins[r]).tolist()) if b > a else ([], [])
                 chains = self.chain(found) if found else {}
                 base = sorted({PHRASES[self.names[p]] for _, p in places})
-                more = {self.names[w] for w, (share, _, _) in chains.items() if share >= COVERED}
-                score = max([0.5 if base else 0.0, *(share for share, _, _ in chains.values())])
-                spans = [f"{self.names[w]}:{x}-{y}" for w, (share, x, y) in sorted(chains.items()) if share >= COVERED]
+                more = {self.names[w] for w, (share, _) in chains.items() if share >= COVERED}
+                score = max([0.5 if base else 0.0, *(share for share, _ in chains.values())])
+                spans = [f"{self.names[w]}:{x}-{y}" for w, (_, held) in sorted(chains.items()) for x, y in held]
                 at = [s for s, _ in places]
                 row = (int(begins[r + 1] - begins[r]), len(at), min(at, default=None), max(at, default=None), base, sorted({*base, *more}), float(score), spans)
                 for column, value in zip(out, row):

@@ -212,6 +212,31 @@ def test_licences(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licences_of_a_file_of_notices():
+    import time
+
+    import pyarrow as pa
+
+    def spans(text):
+        return dict(zip((f.name for f in licenses.FIELDS), (a[0].as_py() for a in licenses.Scanner().batch(pa.RecordBatch.from_pydict({"text": [text]})))))["spans"]
+
+    mit, bsd = licenses.TEMPLATES["mit"].split(), licenses.TEMPLATES["bsd"].split()
+    w, want = [], []
+    for i in range(20):  # some follow on directly
+        for name, text in (("mit", mit), ("bsd", bsd)):
+            w += ["notice", f"number{i}"] * (i % 3)
+            want.append((name, len(w), len(w) + len(text)))
+            w += text
+    assert spans(" ".join(w)) == [f"{n}:{x}-{y}" for k in ("mit", "bsd") for n, x, y in want if n == k]
+    # two damaged copies, one without its end and one without its start
+    assert spans(" ".join([*mit[:40], "and", "so", "on", *mit[12:]])) == ["mit:0-40", f"mit:43-{43 + len(mit) - 12}"]
+    # words changed within each copy
+    torn = [*bsd[:9], "odd", *bsd[10:]]
+    assert spans(" ".join([*torn, "x1", *torn])) == [f"bsd:0-{len(bsd)}", f"bsd:{len(bsd) + 1}-{2 * len(bsd) + 1}"]
+    began = time.time()
+    assert len(spans(" ".join(mit * 2000))) == 2000 and time.time() - began < 30
+
+
 def test_suffix_automaton_matching_statistics():
     draw, own = np.random.default_rng(5), licenses.Scanner()
     texts = [s for s in own.sequences]
