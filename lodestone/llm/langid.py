@@ -55,7 +55,7 @@ class Model:
     weights: np.ndarray
 
     def table(self) -> np.ndarray:
-        held = np.zeros(TOP, np.uint16)
+        held = np.zeros(TOP, np.uint32)
         held[self.grams] = np.arange(1, len(self.grams) + 1)
         return held
 
@@ -111,8 +111,6 @@ def fit(texts: list[np.ndarray], labels: list[str]) -> Model | None:
     for i in marks:
         found[texts[i]] = True
     grams = np.flatnonzero(found)
-    if len(grams) >= 65_535:
-        grams = grams[:65_534]
     model = Model(languages, grams, np.zeros((0, 0)), np.zeros((0, 0)))
     table = model.table()
     landmarks = _rows([texts[i] for i in marks], table, len(grams))

@@ -180,6 +180,15 @@ def test_language_learns_from_long_and_rare_usable_texts(spark):
     assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, bare, "").collect()} == {1, 2}
 
 
+def test_all_landmark_grams_count():
+    draw = np.random.default_rng(7)
+    texts = ["".join(map(chr, draw.integers(lo, hi, 20_000))) for lo, hi in ((0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x1F300, 0x1F9FF), (0x10000, 0x1FFFF))]
+    grams = [langid.grams_of(t) for t in texts]
+    model = langid.fit(grams, ["zh", "ko", "x", "y"])
+    every = np.unique(np.concatenate(grams))
+    assert len(every) > 65_535 and (model.grams == every).all() and (model.table()[every] == np.arange(1, len(every) + 1)).all()
+
+
 def test_presence_is_that_of_sets():
     import pyarrow as pa
 
