@@ -7,18 +7,18 @@ low 32 bits of the XXH64 of its content. A reader takes the table from the file'
 those with the documents asked for.
 
 Documents are dealt by range of doc_id, one file for each range, and written to the shared folder under a name of the
-attempt, then renamed; a repeated task writes the same file again.
+attempt, then renamed; a repeated task writes the same file again. Reading needs the folder alone: the files' names
+are in order of doc_id, and each file's footer says how many ids it holds.
 
 Nulls and edge cases: a null or empty text has the end id alone. Null ids come first, rows that repeat an id stand in
-the order of their texts. An empty table gives no file and no rows. Other columns are not looked at.
+the order of their texts. A very long text is whole in one frame. An empty table gives no file and no rows. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,93 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, partitions, scratch_path, ship, slices, texts_of
+from .encode import encoder
 
 FRAME_IDS = 65_536
 SEEK_MAGIC, INDEX_MAGIC, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1
-#: Words whose ids one Python process keeps: so many lately met, and the generation before them.
-CACHED_WORDS = 200_000
-#: White space besides ASCII's own five; str.split() and the tokenizer's pattern may differ on it.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_SPACE = re.compile("[ \t\r\n]+")
-
-
-#: A run of Latin letters, and marks that may follow; each is one piece to the pre-tokenizer, and letters fold one by one.
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
-
-
-def _byte_letters() -> list[str]:
-    """The public byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = (b for b in range(256) if b not in plain)
-    letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [letter[b] for b in range(256)]
-
-
-class Encoder:
-    """A tokenizers file whose pre-tokenizer never joins words over white space: words are encoded once and kept.
-
-    Runs of Latin letters go to the file's model at once, as the byte-level letters that its pre-tokenizer makes of
-    them; all other words take the whole way through normalizer and pre-tokenizer.
-    """
-
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.runs, self.old, self.old_runs = Tokenizer.from_file(path), {}, {}, {}, {}
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-
-    def _whole(self, words: list[str]) -> None:
-        for i in range(0, len(words), 8192):
-            some = words[i : i + 8192]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = array("I", got.ids).tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        rest, simple, marks, old = [], [], set(), self.old
-        for word in new:
-            if word in old:
-                self.known[word] = old[word]
-            elif m := _SIMPLE.fullmatch(word):
-                simple.append((word, m[1].lower(), m[2]))
-                if m[2]:
-                    marks.add(m[2])
-            else:
-                rest.append(word)
-        self._whole(rest + [m for m in marks if m not in self.known])
-        if len(self.runs) + len(simple) > CACHED_WORDS:
-            self.runs, self.old_runs = {}, self.runs
-        known, runs, old, tokenize, letters = self.known, self.runs, self.old_runs, self.model.tokenize, self.letters
-        for word, run, mark in simple:
-            got = runs.get(run)
-            if got is None:
-                got = old.get(run)
-                if got is None:
-                    plain = run if run.isascii() else "".join([letters[b] for b in run.encode()])
-                    got = array("I", [t.id for t in tokenize(plain)]).tobytes()
-                runs[run] = got
-            known[word] = got + known[mark] if mark else got
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [[w for w in _SPACE.split(t) if w] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        all_words = set().union(*cut)
-        new = all_words.difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known, self.old, new = {}, self.known, all_words
-        self._learn(list(new))
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.uint32) for words in cut]
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
 
 
 class SeekableWriter:
@@ -127,16 +44,29 @@ class SeekableWriter:
         self.out, self.frames = out, []
         self.compress = zstandard.ZstdCompressor(level=level, write_checksum=True).compress
         self.held: list[bytes] = []
-        self.n_held, self.n_ids, self.docs, self.lengths = 0, 0, [], []
+        self.n_held, self.n_ids = 0, 0
+        self.docs: list[int | None] = []
+        self.lengths: list[np.ndarray] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.held.append(ids.astype("<u4").tobytes())
-        self.n_held += len(ids)
+        self.extend([doc_id], ids, np.array([len(ids)], np.int64))
+
+    def extend(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents one after the other: all their ids, and how many each has."""
+        self.docs += doc_ids
+        self.lengths.append(lengths)
         self.n_ids += len(ids)
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids))
-        if self.n_held >= FRAME_IDS:
+        ends, at = np.cumsum(lengths), 0
+        while (k := int(np.searchsorted(ends, at + FRAME_IDS - self.n_held))) < len(ends):
+            self._hold(ids[at : ends[k]])
             self._frame()
+            at = int(ends[k])
+        self._hold(ids[at:])
+
+    def _hold(self, ids: np.ndarray) -> None:
+        if len(ids):
+            self.held.append(ids.astype("<u4").tobytes())
+            self.n_held += len(ids)
 
     def _frame(self) -> None:
         if self.held:
@@ -150,7 +80,7 @@ class SeekableWriter:
         self._frame()
         n = len(self.docs)
         known = np.array([d is not None for d in self.docs], bool)
-        index = struct.pack("<Q", n) + np.packbits(known).tobytes() + np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.array(self.lengths, "<u8").tobytes()
+        index = struct.pack("<Q", n) + np.packbits(known).tobytes() + np.array([d or 0 for d in self.docs], "<i8").tobytes() + np.concatenate([np.zeros(0, np.int64), *self.lengths]).astype("<u8").tobytes()
         index = self.compress(index)
         self.out.write(struct.pack("<II", INDEX_MAGIC, len(index)) + index)
         entries = [*self.frames, (8 + len(index), 0, 0)]
@@ -191,21 +121,26 @@ class SeekableReader:
         return np.frombuffer(raw, "<u4")
 
     def document(self, i: int) -> np.ndarray:
-        """The ids of the document at place i; decompresses its frame alone."""
+        """The ids of the document at place i; decompresses its frame alone, and none for a document without ids."""
+        if not self.lengths[i]:
+            return np.zeros(0, "<u4")
         k = int(np.searchsorted(self.edges, self.begins[i], "right")) - 1
         return self.frame(k)[self.begins[i] - self.edges[k] : self.begins[i + 1] - self.edges[k]]
 
     def all(self) -> Iterator[np.ndarray]:
+        """The ids of each document, in order."""
         i = 0
         for k in range(len(self.frames)):
             ids = self.frame(k)
             while i < len(self.docs) and self.begins[i] < self.edges[k + 1]:
                 yield ids[self.begins[i] - self.edges[k] : self.begins[i + 1] - self.edges[k]]
                 i += 1
+        for _ in range(i, len(self.docs)):  # without ids, after the last frame
+            yield np.zeros(0, "<u4")
 
 
-def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> list[tuple[str, int, int]]:
-    """Encode and write all documents under the folder; (file, documents, ids) of each file in order of doc_id."""
+def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, uri: str) -> None:
+    """Encode and write all documents under the folder, a file for each range of doc_id that has some."""
     ship(spark)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first())
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
@@ -216,43 +151,61 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, uri
         files.create_dir(folder, recursive=True)
         name = f"part-{context.partitionId():06d}.ids.zst"
         attempt = f"{folder}/.{name}.{context.taskAttemptId()}"
-        end = np.array([end_id], np.uint32)
         with files.open_output_stream(attempt) as out:
             held = SeekableWriter(out)
             for batch in batches:
                 texts, ids = texts_of(batch), column(batch, "doc_id").to_pylist()
-                for i, j, _, _ in slices(texts):
-                    for doc_id, got in zip(ids[i:j], own.encode(texts[i:j].to_pylist())):
-                        held.add(doc_id, np.concatenate([got, end]))
+                for i, j, data, offsets in slices(texts):
+                    held.extend(ids[i:j], *own.encode_slice(data, offsets, end_id))
             held.close()
         if held.docs:
             files.move(attempt, f"{folder}/{name}")
-            yield pa.RecordBatch.from_pydict({"name": [name], "docs": [len(held.docs)], "ids": [held.n_ids]})
         else:
             files.delete_file(attempt)
+        yield pa.RecordBatch.from_pydict({"docs": [len(held.docs)]})
+
+    dealt.mapInArrow(run, "docs long").agg(F.sum("docs")).collect()
 
-    return sorted((r["name"], r["docs"], r["ids"]) for r in dealt.mapInArrow(run, "name string, docs long, ids long").collect())
 
+def listed(spark: SparkSession, uri: str) -> list[str]:
+    """The files' names in the order of their documents; the driver sees names alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return sorted(n for n in found if n.endswith(".ids.zst") and not n.startswith("."))
 
-def read(spark: SparkSession, uri: str, found: list[tuple[str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, from the files alone; one file to a task."""
+
+def read(spark: SparkSession, uri: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, from the folder's files alone; one file to a task."""
     ship(spark)
-    before = np.cumsum([0, *(n for _, _, n in found)])
-    listed = spark.createDataFrame([(name, int(b)) for (name, _, _), b in zip(found, before)], "name string, before long")
+    names = listed(spark, uri)
+    dealt = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, len(names)))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterable[pa.RecordBatch]):
         files, folder = pafs.FileSystem.from_uri(uri)
         for batch in batches:
             for row in batch.to_pylist():
                 with files.open_input_file(f"{folder}/{row['name']}") as source:
-                    held = SeekableReader(source)
-                    crc = [zlib.crc32(x) for x in held.all()]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(held.docs, pa.int64()), "start": pa.array(held.begins[:-1] + row["before"]), "n_tokens": pa.array(held.lengths), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield row, SeekableReader(source)
+
+    def footers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, held in opened(batches):
+            yield pa.RecordBatch.from_pydict({"name": [row["name"]], "ids": [int(held.begins[-1])]})
+
+    sizes = sorted((r["name"], r["ids"]) for r in dealt.mapInArrow(footers, "name string, ids long").collect())  # a row for each file
+    before = np.cumsum([0, *(n for _, n in sizes)])
+    placed = spark.createDataFrame([(name, int(b)) for (name, _), b in zip(sizes, before)], "name string, before long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, held in opened(batches):
+            crc = [zlib.crc32(x) for x in held.all()]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(held.docs, pa.int64()), "start": pa.array(held.begins[:-1] + row["before"]), "n_tokens": pa.array(held.lengths), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return listed.repartition(max(1, len(found))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, len(names))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Write to the shared folder and read back."""
     uri = scratch_path(spark, "ids")
-    return read(spark, uri, write(spark, docs, tokenizer, end_id, uri))
+    write(spark, docs, tokenizer, end_id, uri)
+    return read(spark, uri)

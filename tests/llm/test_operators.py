@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontam, langid, licenses, lm, media, mixing, neardup, queries, sharding, tokens
+from lodestone.llm import chat, decontam, encode, langid, licenses, lm, media, mixing, neardup, queries, sharding, tokens
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD, SOLID = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(r"[^\x20\x09-\x0D]+")
@@ -345,11 +345,11 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    encode = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+    plainly = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 1]
     order = sorted(((d, t or "") for d, t, _, _ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     want, start = [], 0
     for d, t in order:
-        ids = encode(t)
+        ids = plainly(t)
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens.round_trip(spark, docs, path).collect()]
@@ -359,13 +359,32 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
 
     with open(tmp_path / "x", "wb") as f:
         held = tokens.SeekableWriter(f)
-        texts = [np.arange(n, dtype=np.uint32) for n in (3, 70_000, 1, 66_000, 5, 0)]
+        texts = [np.arange(n, dtype=np.uint32) for n in (0, 3, 70_000, 0, 1, 66_000, 5, 0, 0)]
         for i, t in enumerate(texts):
             held.add(i, t)
         held.close()
     with pafs.LocalFileSystem().open_input_file(str(tmp_path / "x")) as source:
         reader = tokens.SeekableReader(source)
-        assert all((reader.document(i) == t).all() for i, t in enumerate(texts[:-1])) and [len(x) for x in reader.all()][:5] == [3, 70_000, 1, 66_000, 5]
+        assert all((reader.document(i) == t).all() and len(reader.document(i)) == len(t) for i, t in enumerate(texts)) and [len(x) for x in reader.all()] == list(map(len, texts))
+
+
+def test_pieces_are_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer, normalizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), encode.Encoder(path)
+    draw = np.random.default_rng(3)
+    alphabet = np.array(["a", "B", "é", "É", "'", "s", "ll", "1", " ", "\n", "!", "<", "|", ">", "×", "ß", "日", "\u0301", "\xa0", "\x0b", "Ω", "İ", "\x1c", "house", "<|endoftext|>"])
+    texts = ["don't stop'll", "ÀÉÎ×÷ß ÿŸ", "İstanbul ΣΑΣ", "x<|endoftext|>y <|ENDOFTEXT|> <|", "", "  ", "ab" + "c" * 3000, "ª µ ² ½", "\x00\x7f|", "ﬁ ﬂ"]
+    texts += ["".join(draw.choice(alphabet, int(draw.integers(1, 30)))) for _ in range(4000)]
+    want = [got.ids for got in plain.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.known and [x.tolist() for x in own.encode(texts)] == want
+    assert [x.tolist() for x in own.encode(texts[::-1])] == want[::-1]  # from the table
+    other = encode.Encoder(path)  # any other file goes the library's way
+    other.tokenizer.normalizer = normalizers.NFC()
+    other.known = False
+    assert [x.tolist() for x in other.encode(["Ab É"])] == [other.tokenizer.encode("Ab É", add_special_tokens=False).ids]
 
 
 def brute_components(rows, k, percent):
@@ -464,9 +483,9 @@ def test_vocabulary_is_that_of_all_training_documents(spark):
     minor = next(i for i in range(50, 99) if not held(i))
     texts = {i: "the house of water " * 5 for i in range(50)} | {minor: "zebra quark " * 2500}  # longer than any text of the first sample
     two = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    encode = lm.subwords(path, pattern).encode_ordinary
+    subwords = lm.subwords(path, pattern).encode_ordinary
     model = lm.train(spark, two, lm.encode(two, path, pattern, 4)[1], path, pattern)
-    assert len(texts[minor]) > lm.SEED_CHARS and all(model.place[i] for i in encode(texts[minor]))
+    assert len(texts[minor]) > lm.SEED_CHARS and all(model.place[i] for i in subwords(texts[minor]))
     counts = np.zeros(50_257, np.int64)
     counts[[20, 21]] = 30, 10
     few = lm.Attention(np.array([10]), 50_257, counts=counts)
