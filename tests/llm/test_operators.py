@@ -443,11 +443,14 @@ def test_superminhash_estimates():
         assert (neardup.superminhash([a])[0] == x[0]).all()
 
 
-def test_scoring(spark, docs, rows, empty):
+def _bpe():
     import public_tokenizers
 
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = lm.score(spark, docs, path, pattern)
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_scoring(spark, docs, rows, empty):
+    out = lm.score(spark, docs, _bpe())
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
     counts = Counter()
     for d, t, _, _ in rows:
@@ -462,49 +465,65 @@ def test_scoring(spark, docs, rows, empty):
     key = lambda r: (repr(r[0]), r[2], r[5])
     for a, b in zip(sorted(got, key=key), sorted(want, key=key)):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9) and a[6] < 0
-    assert lm.score(spark, empty, path, pattern).count() == 0
+    assert lm.score(spark, empty, _bpe()).count() == 0
 
 
-def test_model_learns_from_all_training_documents(spark, docs, rows):
-    import public_tokenizers
-
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+def test_model_learns_from_all_training_documents(spark, docs, rows, monkeypatch):
     two = docs.select("doc_id", "text")
-    model = lm.train(spark, two, lm.encode(two, path, pattern, 4)[1], path, pattern)
+    encoded = lm.encode(two, _bpe(), 4)[1]
+    n_ids = encode.encoder(_bpe()).n_ids
+    model = lm.train(spark, encoded, n_ids)
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
-    assert model.learned == sum(len(lm.subwords(path, pattern).encode_ordinary(t or "")) + 1 for d, t, _, _ in rows if not held(d))
+    learned = [t or "" for d, t, _, _ in rows if not held(d)]
+    sizes = [len(x) + 1 for x in encode.encoder(_bpe()).encode(learned)]
+    assert model.paired == sum(sizes)  # every pair of neighbours counts
+    assert sum(min(n, lm.CONTEXT - lm.STRIDE) for n in sizes) <= model.learned < sum(sizes)  # a window of each at least
+    monkeypatch.setattr(lm, "DRAW", 1)
+    assert lm.train(spark, encoded, n_ids).learned == sum(sizes)
 
 
 def test_vocabulary_is_that_of_all_training_documents(spark):
-    import public_tokenizers
-
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     minor = next(i for i in range(50, 99) if not held(i))
-    texts = {i: "the house of water " * 5 for i in range(50)} | {minor: "zebra quark " * 2500}  # longer than any text of the first sample
+    texts = {i: "the house of water " * 5 for i in range(50)} | {minor: "zebra quark " * 2500}
     two = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    subwords = lm.subwords(path, pattern).encode_ordinary
-    model = lm.train(spark, two, lm.encode(two, path, pattern, 4)[1], path, pattern)
-    assert len(texts[minor]) > lm.SEED_CHARS and all(model.place[i] for i in subwords(texts[minor]))
+    own = encode.encoder(_bpe())
+    model = lm.train(spark, lm.encode(two, _bpe(), 4)[1], own.n_ids)
+    assert all(model.place[i] for i in own.encode([texts[minor]])[0])
+    likely, unlikely = (model.score(own.encode([t])[0], np.array([len(own.encode([t])[0])]))[0] for t in ("zebra quark zebra quark", "zebra water zebra water"))
+    assert likely > unlikely + 2
     counts = np.zeros(50_257, np.int64)
     counts[[20, 21]] = 30, 10
     few = lm.Attention(np.array([10]), 50_257, counts=counts)
-    often, rarely, never = (few.score([np.array([i])])[0] for i in (20, 21, 22))
+    often, rarely, never = (few.score(np.array([i]), np.array([1]))[0] for i in (20, 21, 22))
     assert math.isclose(often - rarely, math.log10(30.5 / 10.5), abs_tol=1e-4) and never < rarely
     assert math.isclose(np.exp(few.extra[few.place[:-1] == 0].astype(np.float64)).sum() / 50_257, 1.0, rel_tol=1e-4)
 
 
+def _model(seed=1):
+    """With direct connections of some counts."""
+    model = lm.Attention(np.arange(10, 10 + lm.VOCABULARY - 2), 50_257)
+    model.connect(np.random.default_rng(seed).poisson(0.1, lm.VOCABULARY * (lm.VOCABULARY + 1)))
+    return model
+
+
+def _joined(given):
+    return np.concatenate([np.zeros(0, np.int64), *given]), np.array([len(g) for g in given], np.int64)
+
+
 def test_attention_gradient_and_windows():
-    model = lm.Attention(np.arange(10, 900), 50_257)
+    model = _model()
     given = [np.random.default_rng(1).integers(0, 1200, n) for n in (5, 40, 90, 0)]
-    x, window, place, target, document = model.windows(given)
-    assert np.bincount(document).tolist() == [6, 41, 91, 1]  # each id and end once
-    flat = x[window, place]
-    assert (flat[1:6] == model.place[given[0]]).all() and flat[0] == lm.BEGIN
+    x, y = model.windows(*_joined(given))
+    assert y[y >= 0].tolist() == [i for g in given for i in [*model.place[g].tolist(), lm.END]]  # each id and end once, in order
+    before = x[y >= 0]
+    assert (before[1:6] == model.place[given[0]]).all() and before[0] == lm.BEGIN
     model.w = {k: w.astype(np.float64) for k, w in model.w.items()}
     model.mask = model.mask.astype(np.float64)
-    row = window * lm.CONTEXT + place
-    g, _ = model.gradient(x, row, target)
+    row = np.flatnonzero(y.ravel() >= 0)
+    target = y.ravel()[row]
+    g, loss = model.gradient(x, row, target)
+    assert math.isclose(loss, -model.log_p(model.hidden(x)[row], target, x.ravel()[row]).sum() - (target == lm.ESCAPE).sum() * math.log(50_257), rel_tol=1e-5)
     for name, w in model.w.items():
         i = int(np.argmax(np.abs(g[name])))
         at, old = np.unravel_index(i, w.shape), w.ravel()[i]
@@ -516,17 +535,52 @@ def test_attention_gradient_and_windows():
         assert math.isclose((found[0] - found[1]) / 2e-5 / len(target), g[name][at], rel_tol=1e-3, abs_tol=1e-9), name
 
 
-def test_attention_is_causal_and_sums_to_one():
-    model = lm.Attention(np.arange(10, 10 + lm.VOCABULARY - 2), 50_257)
+def test_attention_sums_to_one():
+    model = _model()
     z = model.hidden(np.full((1, lm.CONTEXT), lm.BEGIN, np.int32))[:1]
-    p = np.exp(model.log_p(np.repeat(z, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY)).astype(np.float64))
-    assert math.isclose(p[0] * 50_257 + p[1:].sum(), 1.0, rel_tol=1e-4)
-    a = np.random.default_rng(3).integers(10, 900, 20)
+    for before in (lm.BEGIN, 7):
+        p = np.exp(model.log_p(np.repeat(z, lm.VOCABULARY, axis=0), np.arange(lm.VOCABULARY), np.full(lm.VOCABULARY, before)).astype(np.float64))
+        assert math.isclose(p[0] * 50_257 + p[1:].sum(), 1.0, rel_tol=1e-4)
     x = np.random.default_rng(8).integers(0, 900, (3, lm.CONTEXT))
     rows = np.array([0, 5, 31, 40, 95])
     assert np.allclose(model.hidden_at(x, rows), model.hidden(x)[rows], rtol=1e-3, atol=1e-3)
-    whole, part = (model.score([x])[0] for x in (a, np.r_[a[:10], a[:10]]))
-    assert whole != part
+
+
+def test_attention_is_causal():
+    model, draw = _model(), np.random.default_rng(3)
+    given = draw.integers(10, 900, 70)
+    logs = lambda ids: model.logs(*model.windows(*_joined([ids])))
+    whole = logs(given)
+    for at in (0, 9, 31, 32, 50, 69):
+        other = given.copy()
+        other[at] = 901
+        got = logs(other)
+        assert (got[:at] == whole[:at]).all() and got[at] != whole[at] and not np.allclose(got[at + 1 : at + 4], whole[at + 1 : at + 4], rtol=1e-6)
+
+
+def test_score_is_that_of_plain_softmax_window_by_window():
+    """Each id by a softmax over its row of the window's last CONTEXT inputs, written with loops."""
+    model, draw = _model(), np.random.default_rng(4)
+    given = [draw.integers(0, 1200, n) for n in (3, 64, 0, 33)]
+    w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    norm = lambda a: a - np.log(np.exp(a).sum())
+    want = []
+    for ids in given:
+        seq, total = [*model.place[ids].tolist(), lm.END], 0.0
+        inputs = [lm.BEGIN, *seq[:-1]]
+        for t in range(len(seq)):
+            start = 0 if t < lm.CONTEXT else -(-(t + 1 - lm.CONTEXT) // lm.STRIDE) * lm.STRIDE
+            e = np.array([w["E"][i] + w["P"][k] for k, i in enumerate(inputs[start : t + 1])])
+            scores = (e @ w["K"]) @ (e[-1] @ w["Q"]) / math.sqrt(lm.DIM)
+            v = np.exp(norm(scores)) @ (e @ w["V"])
+            h = e[-1] + v @ w["O"]
+            h = h + np.maximum(h @ w["F"] + w["f"], 0) @ w["G"]
+            c, m = divmod(seq[t], lm.CLASSES)
+            total += norm(h @ w["A"] + w["a"] + model.follow[0][inputs[t]])[c] + norm(h @ w["B"][c] + w["b"][c] + model.follow[1][inputs[t] * lm.CLASSES + c])[m]
+            if seq[t] == lm.ESCAPE:
+                total += model.extra[ids[t]] - math.log(50_257)
+        want.append(total / math.log(10))
+    assert np.allclose(model.score(*_joined(given)), want, rtol=1e-4)
 
 
 def test_pipeline(spark, tmp_path, rows):
