@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,12 @@ _LOW[65:91] += 32
 _SOLID = CLASS != SPACE
 
 
-def _byte_letters() -> list[str]:
+def _byte_letters() -> np.ndarray:
     """The public byte-level alphabet: printable bytes stand for themselves, others for letters from U+0100 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = (b for b in range(256) if b not in plain)
     letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [letter[b] for b in range(256)]
+    return np.array([ord(letter[b]) for b in range(256)], "<u2")
 
 
 class Encoder:
@@ -102,19 +103,20 @@ class Encoder:
 
     def _learn(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Encode pieces; where their ids are in the pool, and how many."""
-        raw, letters, tokenize = low.tobytes(), self.letters, self.model.tokenize
-        found: list = [None] * len(starts)
+        tokenize = self.model.tokenize
+        letters = self.letters[low].tobytes().decode("utf-16-le")  # a letter for each byte
+        words = [letters[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         strange = np.flatnonzero(odd).tolist()
+        for k in strange:
+            words[k] = ""
+        found = [[t.id for t in tokenize(w)] for w in words]
+        raw = low.tobytes() if strange else b""
         for i in range(0, len(strange), 1024):
             some = strange[i : i + 1024]
             for k, got in zip(some, self.tokenizer.encode_batch_fast([raw[starts[k] : ends[k]].decode() for k in some], add_special_tokens=False)):
                 found[k] = got.ids
-        for k, (a, b, o) in enumerate(zip(starts.tolist(), ends.tolist(), odd.tolist())):
-            if not o:
-                word = raw[a:b]
-                found[k] = [t.id for t in tokenize(word.decode() if word.isascii() else "".join([letters[x] for x in word]))]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(flat) + POOL, np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
