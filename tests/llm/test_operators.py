@@ -148,14 +148,34 @@ def test_winnowing_guarantee():
 
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "lost"), (6, 1, "assistant", "yes"), (6, 0, "user", "hi"), (6, None, "system", "")]
+    turns += [(None, 1, "user", "lost"), (None, 0, "user", "hi")]  # the one a copy, the other a prefix
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, rendered string")
     out = {r["conv_id"]: (r["n_turns"], r["n_same"], r["rendered"]) for r in chat.render(df).collect()}
     assert set(out) == {2, 4, 5, 6, None}
-    assert out[2] == (2, 2, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>")
+    assert out[2] == (2, 2, "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>") and out[None] == (1, 2, "<|im_start|>user\nlost<|im_end|>")
     assert out[6][0] == 3 and out[6][2].startswith("<|im_start|>system")
     assert chat.render(df.filter("false")).count() == 0
 
 
+def test_chat_against_brute_force(spark):
+    """Ties in turn and role, repeated rows, nulls; prefixes by comparing lists."""
+    draw = np.random.default_rng(12)
+    turns = [(int(c) if c else None, None if t == 3 else int(t), [None, "user", "assistant"][r], [None, "", "a", "b", "c"][x]) for c, t, r, x in zip(draw.integers(0, 60, 260), draw.integers(0, 4, 260), draw.integers(0, 2, 260), draw.integers(0, 5, 260))]
+    turns += [(100, 0, "user", "c"), (101, 0, "user", "a"), (101, 0, "user", "c")]  # no prefix in order
+    lists = {}
+    for n, (c, t, r, x) in enumerate(turns):
+        lists.setdefault(("lone", n) if c is None else c, []).append((t is not None, t or 0, r or "", hashlib.md5((x or "").encode()).hexdigest(), x or ""))
+    lists = {c: tuple((r, x) for _, _, r, _, x in sorted(l)) for c, l in lists.items()}
+    want = []
+    for l in set(lists.values()):
+        if not any(len(o) > len(l) and o[: len(l)] == l for o in lists.values()):
+            ids = [c for c, o in lists.items() if o == l]
+            named = [c for c in ids if not isinstance(c, tuple)]
+            want.append((min(named, default=None), len(l), len(ids), "\n".join(f"<|im_start|>{r}\n{x}<|im_end|>" for r, x in l)))
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    assert sorted(map(tuple, chat.render(df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_language(spark, docs, rows, empty):
     learn = ~F.coalesce(langid.held_out(), F.lit(False))
     out = langid.identify(spark, docs, learn).select("doc_id", "text", "lang", "language.*").collect()
@@ -594,5 +614,5 @@ def test_pipeline(spark, tmp_path, rows):
 
 
 def test_queries_have_names():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES} == set(range(1, 11))
+    assert {int(m[1]) for q in queries.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
     assert json.dumps(queries.ORACLES)
