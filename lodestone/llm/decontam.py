@@ -6,13 +6,16 @@ documents and benchmark misses no shared span of that length. A hit is extended:
 looked up among the benchmark's windows and compared word by word. Items of fewer words than a window are one window
 each, found by their own length's hash.
 
-The benchmark's index goes to the executors in blocks of a bounded number of words (usually one). With more blocks,
-the documents pass each in turn and carry what was found, written to the shared folder in between.
-
-Nulls and edge cases: a null or empty text (on either side) has no words and no hits. Items without an id hit words as
-others do, and only the list of ids lacks them; items that repeat an id count as one. Repeated document rows get the
-same result each. An empty documents table gives no rows, an empty benchmark no hits. All columns of the documents pass
-through; `decon` is added.
+The benchmark's index goes to the executors in blocks of at most BLOCK_BYTES of distinct items (or one longer item);
+usually one is enough. Beyond one, a filter of fixed size with all blocks' fingerprints (and short items) parts the
+documents first: those that it lets through, few in a corpus, pass each block in turn and carry what was found,
+written to the shared folder in between; all others are done.
+
+Nulls and edge cases: a null or empty text (on either side) has no words and no hits. A very long text is searched
+whole. Items without an id hit words as others do, and only the list of ids lacks them; items that repeat an id count
+as one, items of equal text are all listed. Repeated document rows get the same result each. An empty documents table
+gives no rows, an empty benchmark no hits. All columns of the documents pass through; `decon` is added, in place of a
+column of that name.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +33,11 @@ from .words import ALNUM, grams, owner, words
 
 K, W = 5, 9
 WINDOW = K + W - 1
-#: Words of the benchmark in one block: some 20 MB of index.
-BLOCK_WORDS = 400_000
+#: Text of the benchmark in one block: some 20 MB of index.
+BLOCK_BYTES = 1_600_000
+#: 64-bit words of the filter over several blocks' fingerprints, and the column in which what was found is carried.
+FILTER_WORDS = 1 << 19
+CARRIED = "_lodestone_decon_carried"
 
 FIELDS = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
@@ -148,7 +154,7 @@ def _searcher(index: Index, carried: bool):
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = texts_of(batch)
-        before = column(batch, "_before").to_pylist() if carried else [None] * len(texts)
+        before = column(batch, CARRIED).to_pylist() if carried else [None] * len(texts)
         n_words, n_hit, ids, spans = [], [], [], []
         for i, j, data, offsets in slices(texts):
             hashed, begins = words(data, offsets, ALNUM)
@@ -181,21 +187,95 @@ def _searcher(index: Index, carried: bool):
     return make
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def _blocks(items: DataFrame, most: int) -> DataFrame:
+    """The distinct items with `block`: runs of items of at most `most` bytes together, or one longer item."""
+    held = scratch(items.distinct().withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).withColumn("_size", F.octet_length("text").cast("long")), "items")
+    within = Window.partitionBy("_task").orderBy("_at")
+    tasks = held.groupBy("_task").agg(F.sum("_size").alias("_n"))
+    tasks = tasks.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row for each task
+    before = F.col("_first") + F.coalesce(F.sum("_size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # An item starts a block of its own number where it would cross a multiple of half a block, so none holds more than a block.
+    half = F.lit(max(1, most // 2))
+    return held.join(tasks, "_task").withColumn("block", F.floor(before / half)).select("item_id", "text", "block")
+
+
+def _prints(index: Index) -> np.ndarray:
+    """Hashes that a document needs one of for a hit: fingerprints, and whole short items."""
+    return np.unique(np.concatenate([index.prints, *[kind.hashed for _, kind in index.short]]))
+
+
+def _bits(hashed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two places (word, bit) in the filter for each hash."""
+    return [((hashed >> np.uint64(a)) % np.uint64(FILTER_WORDS), (hashed >> np.uint64(b)) % np.uint64(64)) for a, b in ((0, 40), (21, 52))]
+
+
+def _candidates(spark: SparkSession, docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The documents with `decon` as of no hits, and CARRIED true where the filter lets a document through."""
+
+    def marked(batches):
+        held, lengths = np.zeros(FILTER_WORDS, np.uint64), set()
+        for batch in batches:
+            index = Index([None] * len(batch), texts_of(batch).to_pylist())
+            for word, bit in _bits(_prints(index)):
+                np.bitwise_or.at(held, word.astype(np.int64), np.uint64(1) << bit)
+            lengths |= {kind.length for _, kind in index.short}
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"w": pa.array(np.r_[at, -np.array(sorted(lengths), np.int64)]), "x": pa.array(np.r_[held[at].view(np.int64), np.zeros(len(lengths), np.int64)])})
+
+    got = blocks.select("text").mapInArrow(marked, "w long, x long").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
+    word, x = got["w"].to_numpy(), got["x"].to_numpy()
+    bits = np.zeros(FILTER_WORDS, np.uint64)
+    bits[word[word >= 0]] = x[word >= 0].view(np.uint64)
+    held = spark.sparkContext.broadcast((bits, sorted((-word[word < 0]).tolist())))
+
+    def factory():
+        bits, lengths = held.value
+
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts, n_words, through = texts_of(batch), [], []
+            for _, _, data, offsets in slices(texts):
+                hashed, begins = words(data, offsets, ALNUM)
+                of = owner(begins)
+                found = [winnow(hashed, begins)]
+                for length in lengths:
+                    at = np.arange(max(0, len(hashed) - length + 1))
+                    at = at[of[at] == of[at + length - 1]] if len(at) else at
+                    found.append((at, grams(hashed, length, at)))
+                hit = np.zeros(len(offsets) - 1, bool)
+                for at, printed in found:
+                    some = np.ones(len(at), bool)
+                    for w, b in _bits(printed):
+                        some &= (bits[w.astype(np.int64)] >> b) & np.uint64(1) == 1
+                    hit[of[at[some]]] = True
+                n_words += np.diff(begins).tolist()
+                through += hit.tolist()
+            none = pa.array([[]] * len(texts), pa.list_(pa.int64()))
+            return [pa.array(n_words, pa.int64()), pa.array([0] * len(texts), pa.int64()), none, none, pa.array(through, pa.bool_())]
+
+        return make
+
+    return with_struct(docs, "decon", [*FIELDS, T.StructField("through", T.BooleanType())], factory)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with `decon`: n_words, n_hit, item_ids (sorted), spans (start and end word of each run that is hit, in turn)."""
     items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * block_words)))
-    out = docs
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+    if size <= block_bytes:
+        rows = items.distinct().collect()
+        held = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        return with_struct(docs, "decon", FIELDS, lambda: _searcher(held.value, False))
+    blocks = scratch(_blocks(items, block_bytes), "blocks")
+    parted = scratch(_candidates(spark, docs, blocks), "decon")
+    fields = [F.col(f"decon.{f.name}").alias(f.name) for f in FIELDS]
+    same = lambda flag: parted.filter(F.col("decon.through") == flag).withColumn("decon", F.struct(*fields))
+    out = same(True)
+    for b in [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]:
+        rows = blocks.filter(F.col("block") == b).collect()
         held = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        out = with_struct(out if not b else out.withColumnRenamed("decon", "_before"), "decon", FIELDS, lambda held=held, b=b: _searcher(held.value, b > 0))
-        if b:
-            out = out.drop("_before")
-        if b + 1 < blocks:
-            out = scratch(out, "decon")
-    return out
+        found = with_struct(out.withColumnRenamed("decon", CARRIED), "decon", FIELDS, lambda held=held: _searcher(held.value, True))
+        out = scratch(found.drop(CARRIED), "decon")
+    return out.unionByName(same(False))
 
 
 def contaminated() -> Column:

@@ -105,7 +105,7 @@ def test_packing_is_best_fit_decreasing():
 
 def test_decontamination(spark, docs, rows, empty):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    items = [(i, words(t)) for i, t in BENCH if i is not None and words(t)]
+    items = [(i, words(t)) for i, t in BENCH if words(t)]
 
     def brute(text):
         w = words(text)
@@ -115,13 +115,13 @@ def test_decontamination(spark, docs, rows, empty):
             windows = {tuple(item[k : k + n]) for k in range(len(item) - n + 1)}
             for k in range(len(w) - n + 1):
                 if tuple(w[k : k + n]) in windows:
-                    ids.add(i)
+                    ids |= {i} - {None}
                     hit[k : k + n] = [True] * n
         return len(w), sum(hit), hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
 
     want = sorted(((d, *brute(t)) for d, t, _, _ in rows), key=repr)
-    for block_words in (400_000, 12):  # in one block and in several
-        out = decontam.decontaminate(spark, docs, bench, block_words).select("doc_id", "decon.n_words", "decon.n_hit", decontam.items_digest().alias("sha"))
+    for block_bytes in (1_600_000, 60):  # in one block and in several
+        out = decontam.decontaminate(spark, docs.withColumn("_before", F.lit(1)), bench, block_bytes).select("doc_id", "decon.n_words", "decon.n_hit", decontam.items_digest().alias("sha"))
         assert by_row(out, "n_words", "n_hit", "sha") == want
     assert decontam.decontaminate(spark, empty, bench).count() == 0
     assert decontam.decontaminate(spark, docs, bench.filter("false")).filter("decon.n_hit > 0").count() == 0
@@ -131,8 +131,8 @@ def test_items_without_an_id_hit_and_are_not_listed(spark):
     passage = " ".join(f"quiz{j}" for j in range(20))
     two = spark.createDataFrame([(1, "before " + passage + " after"), (2, "an odd riddle"), (3, "named one and an odd riddle"), (4, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(None, passage), (None, "odd riddle"), (5, "named one"), (0, "absent here")], "item_id long, text string")
-    for block_words in (400_000, 3):
-        out = decontam.decontaminate(spark, two, bench, block_words).withColumn("bad", decontam.contaminated()).orderBy("doc_id").collect()
+    for block_bytes in (1_600_000, 30):
+        out = decontam.decontaminate(spark, two, bench, block_bytes).withColumn("bad", decontam.contaminated()).orderBy("doc_id").collect()
         assert [(r["decon"]["n_hit"], r["decon"]["item_ids"], r["bad"]) for r in out] == [(20, [], True), (2, [], True), (4, [5], True), (0, [], False)]
 
 
