@@ -1,17 +1,20 @@
 """Language identification with string kernels.
 
 Two texts compare by the n-grams (of one to three bytes, over letters) that both hold: a blended-spectrum presence
-kernel, normalised. The Nyström method with landmark texts of each language gives finite features, and one-versus-
-rest ridge regression in them a score for each language. Landmark n-grams are numbered once; a batch of texts becomes
-a presence matrix, and all else is matrix products.
+kernel, divided by the root of the product of the texts' numbers of distinct n-grams. The Nyström method with landmark
+texts of each language gives finite features, and one-versus-rest ridge regression in them a score for each language.
+A kernel with a landmark is a product of presences, so landmarks, Nyström root and ridge weights are multiplied once,
+into a matrix of n-grams by languages; a batch of texts becomes a presence matrix, and scores are its product with it.
 
-The classifier is fitted on a bounded sample: of each language the PER_LANGUAGE rows with a letter whose hashed id is
-smallest, all of them where there are fewer. Texts of any length take part whole: tasks send the driver the distinct
-n-grams of a sampled text, not the text. Predictions read whole texts.
+The classifier is fitted on a bounded sample: of each language the rows with a letter whose hashed id is smallest,
+PER_LANGUAGE of them at most, and SAMPLE of all languages together. Texts of any length take part whole: tasks send
+the driver the distinct n-grams of a sampled text, not the text. The driver holds the sample's n-grams and products of
+at most LANDMARKS landmarks, by runs of n-grams. Predictions read whole texts.
 
 Nulls and edge cases: a null text or one without letters is `und` with score 0; so is every text where no labelled
-row with a letter exists. Rows without a language are never learned from. Repeated rows get the same result each; an empty table
-gives no rows. All columns pass through; `language` is added (or replaced).
+row with a letter exists. Rows without a language are never learned from. Of languages with equal scores the smallest
+by code point wins. Repeated rows get the same result each; an empty table gives no rows. All columns pass through;
+`language` is added, in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from pyspark.sql import types as T
 
 from .common import column, ship, slices, texts_of, with_struct
 
-PER_LANGUAGE, LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 64, 256, 1e-3
+PER_LANGUAGE, SAMPLE, LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 20_000, 2048, 256, 1e-3
+#: Cells of a dense run of n-grams, and of a batch's presence matrix.
+CELLS = 1 << 23
 #: Letters keep their (lower-cased) byte, all other ASCII is one blank.
 FOLD = np.zeros(256, np.uint32)
 FOLD[97:123] = np.arange(97, 123)
@@ -51,8 +56,8 @@ BLANK = np.array([0, 1 << 8, (1 << 8) + (1 << 16)])
 class Model:
     languages: list[str]
     grams: np.ndarray
-    landmarks: np.ndarray
-    weights: np.ndarray
+    weights: np.ndarray  # n-grams by languages
+    bias: np.ndarray
 
     def table(self) -> np.ndarray:
         held = np.zeros(TOP, np.uint32)
@@ -60,34 +65,45 @@ class Model:
         return held
 
 
-def presence(texts: pa.Array, table: np.ndarray, n: int):
-    """(first row, normalised presence matrix, whether each text has a letter) for runs of texts."""
-    for i, j, data, offsets in slices(texts, 1 << 19):
-        folded = FOLD[data]
-        got = [table[c] for c in codes(folded)] if len(folded) >= 3 else [table[c] if len(c) else c.astype(table.dtype) for c in codes(np.r_[folded, np.zeros(3, np.uint32)])]
-        for a in range(i, j, 128):
-            b = min(j, a + 128)
-            x = np.zeros((b - a, n + 1), np.float32)
-            letters = np.zeros(b - a, bool)
-            for r in range(a, b):
-                at, end = offsets[r - i], offsets[r - i + 1]
-                for k, c in enumerate(got):
-                    x[r - a, c[at : max(at, end - k)]] = 1
-                letters[r - a] = bool(np.any((folded[at:end] > 0) & (folded[at:end] < 128))) or bool(end > at and folded[at:end].any() and any(ch.isalpha() for ch in data[at:end].tobytes().decode("utf-8", "replace")))
-            x = x[:, 1:]
-            norm = np.sqrt(x.sum(axis=1, keepdims=True))
-            np.maximum(norm, 1, out=norm)
-            x /= norm
-            yield a, x, letters
-
-
-def _rows(texts: list[np.ndarray], table: np.ndarray, n: int) -> np.ndarray:
-    """The normalised presence matrix of texts that are given by their n-grams."""
-    x = np.zeros((len(texts), n + 1), np.float32)
+class Presence:
+    """Presence matrices of texts over a model's n-grams, scaled by the root of each text's number of distinct n-grams."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.table, self.n = np.zeros(TOP, np.uint32), len(grams)
+        self.table[grams] = np.arange(1, len(grams) + 1)
+        self.last = np.zeros(TOP, np.uint32)  # where each n-gram was met last, whichever text that was
+
+    def of(self, texts: pa.Array):
+        """(first row, matrix, whether each text has a letter) for runs of texts."""
+        rows = max(1, min(128, CELLS // (self.n + 1)))
+        for i, j, data, offsets in slices(texts, 1 << 19):
+            folded = FOLD[data]
+            got = codes(folded if len(folded) >= 3 else np.r_[folded, np.zeros(3, np.uint32)])
+            for a in range(i, j, rows):
+                b = min(j, a + rows)
+                x = np.zeros((b - a, self.n + 1), np.float32)
+                letters, distinct = np.zeros(b - a, bool), np.zeros(b - a, np.float32)
+                for r in range(a, b):
+                    at, end = int(offsets[r - i]), int(offsets[r - i + 1])
+                    for k, all_codes in enumerate(got):
+                        c = all_codes[at : max(at, end - k)]
+                        if len(c):
+                            x[r - a, self.table[c]] = 1
+                            order = np.arange(1, len(c) + 1, dtype=np.uint32)
+                            self.last[c] = order  # the last of equal ones stays
+                            distinct[r - a] += np.count_nonzero(self.last[c] == order) - int(self.last[BLANK[k]] > 0)
+                            self.last[BLANK[k]] = 0
+                    letters[r - a] = bool(np.any((folded[at:end] > 0) & (folded[at:end] < 128))) or bool(end > at and folded[at:end].any() and any(ch.isalpha() for ch in data[at:end].tobytes().decode("utf-8", "replace")))
+                yield a, x[:, 1:] / np.sqrt(np.maximum(distinct, 1))[:, None], letters
+
+
+def _rows(texts: list[np.ndarray], low: int, high: int, place: np.ndarray) -> np.ndarray:
+    """The scaled presence matrix of texts that are given by their n-grams, in columns low to high of all n-grams' places."""
+    x = np.zeros((len(texts), high - low), np.float32)
     for row, found in zip(x, texts):
-        row[table[found]] = 1
-    x = x[:, 1:]
-    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+        at = place[found].astype(np.int64) - 1 - low
+        row[at[(at >= 0) & (at < high - low)]] = 1
+    return x / np.sqrt(np.array([max(1, len(t)) for t in texts], np.float32))[:, None]
 
 
 def grams_of(text: str) -> np.ndarray:
@@ -102,28 +118,35 @@ def fit(texts: list[np.ndarray], labels: list[str]) -> Model | None:
     languages = sorted(set(labels))
     if not languages:
         return None
-    marks, seen = [], dict.fromkeys(languages, 0)
+    marks, seen, most = [], dict.fromkeys(languages, 0), max(1, min(64, LANDMARKS // len(languages)))
     for i, label in enumerate(labels):
-        if seen[label] < LANDMARKS:
+        if seen[label] < most:
             seen[label] += 1
             marks.append(i)
     found = np.zeros(TOP, bool)
     for i in marks:
         found[texts[i]] = True
     grams = np.flatnonzero(found)
-    model = Model(languages, grams, np.zeros((0, 0)), np.zeros((0, 0)))
-    table = model.table()
-    landmarks = _rows([texts[i] for i in marks], table, len(grams))
-    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    place = np.zeros(TOP, np.uint32)
+    place[grams] = np.arange(1, len(grams) + 1)
+    chosen, step = [texts[i] for i in marks], max(1, CELLS // len(marks))
+    runs = [(low, min(len(grams), low + step)) for low in range(0, len(grams), step)]
+    kernel = np.zeros((len(texts), len(marks)))
+    for low, high in runs:
+        landmarks = _rows(chosen, low, high, place)
+        for i in range(0, len(texts), len(marks)):
+            kernel[i : i + len(marks)] += _rows(texts[i : i + len(marks)], low, high, place) @ landmarks.T
+    values, vectors = np.linalg.eigh(kernel[marks])
     keep = values > 1e-6 * values[-1] if len(values) and values[-1] > 0 else np.zeros(len(values), bool)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    kernel = np.concatenate([_rows(texts[i : i + 128], table, len(grams)) @ landmarks.T for i in range(0, len(texts), 128)])
-    phi = np.c_[kernel.astype(np.float64) @ root, np.ones(len(texts))]
-    y = np.array([[float(label == lang) for lang in languages] for label in labels])
-    balance = np.array([1 / labels.count(lang) for lang in languages])[[languages.index(label) for label in labels]][:, None] * len(labels) / len(languages)
+    phi = np.c_[kernel @ root, np.ones(len(texts))]
+    number = np.array([languages.index(label) for label in labels])
+    y = np.eye(len(languages))[number]
+    balance = (1 / np.bincount(number))[number][:, None] * len(labels) / len(languages)
     weights = np.linalg.solve(phi.T @ (balance * phi) + RIDGE * len(texts) * np.eye(phi.shape[1]) / len(languages), phi.T @ (balance * y))
-    model.landmarks, model.weights = landmarks, np.r_[root @ weights[:-1], weights[-1:]].astype(np.float32)
-    return model
+    of_landmark = (root @ weights[:-1]).astype(np.float32)
+    joined = np.concatenate([_rows(chosen, low, high, place).T @ of_landmark for low, high in runs]) if runs else np.zeros((0, len(languages)), np.float32)
+    return Model(languages, grams, joined, weights[-1].astype(np.float32))
 
 
 def held_out() -> Column:
@@ -134,11 +157,11 @@ def has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def _smallest():
-    """Of a task's rows, the PER_LANGUAGE of smallest hash in each language, as n-grams."""
+def _smallest(most: int):
+    """Of a task's rows, the `most` of smallest hash in each language, as n-grams."""
 
     def cut(held: list) -> list:
-        return sorted(held, key=lambda x: x[:2])[:PER_LANGUAGE]
+        return sorted(held, key=lambda x: x[:2])[:most]
 
     def run(batches):
         taken: dict[str, list[tuple[int, bytes]]] = {}
@@ -147,7 +170,7 @@ def _smallest():
             for r, (lang, h) in enumerate(zip(column(batch, "lang").to_pylist(), column(batch, "h").to_pylist())):
                 held = taken.setdefault(lang, [])
                 held.append((h, grams_of(texts[r].as_py()).astype(np.uint32).tobytes()))
-                if len(held) >= 2 * PER_LANGUAGE:
+                if len(held) >= 2 * most:
                     taken[lang] = cut(held)
         for lang, held in taken.items():
             some = cut(held)
@@ -163,17 +186,18 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
     rows = rows.select("lang", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+        raise ValueError(f"over {MAX_LANGUAGES} different values of lang: no column of languages")
+    most = min(PER_LANGUAGE, max(1, SAMPLE // max(1, len(counts))))
     sample: dict[str, list[tuple[int, bytes]]] = {}
     left, share = set(counts), 1.5
     while left:  # a language of which the hashes below its bound are too few is asked again with a wider one
-        bound = {lang: min(2**63 - 1, -(2**63) + int(share * PER_LANGUAGE / counts[lang] * 2**64)) for lang in sorted(left)}
+        bound = {lang: min(2**63 - 1, -(2**63) + int(share * most / counts[lang] * 2**64)) for lang in sorted(left)}
         below = F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for item in bound.items() for x in item]), F.col("lang"))
         taken: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in left}
-        for r in rows.filter(F.col("lang").isin(*left) & below).mapInArrow(_smallest(), "lang string, h long, grams binary").collect():
+        for r in rows.filter(F.col("lang").isin(*left) & below).mapInArrow(_smallest(most), "lang string, h long, grams binary").collect():
             taken[r["lang"]].append((r["h"], bytes(r["grams"])))
-        done = {lang for lang in left if len(taken[lang]) >= min(PER_LANGUAGE, counts[lang]) or bound[lang] == 2**63 - 1}
-        sample |= {lang: sorted(taken[lang])[:PER_LANGUAGE] for lang in done}
+        done = {lang for lang in left if len(taken[lang]) >= min(most, counts[lang]) or bound[lang] == 2**63 - 1}
+        sample |= {lang: sorted(taken[lang])[:most] for lang in done}
         left, share = left - done, 8 * share
     ordered = sorted((h, grams, lang) for lang, held in sample.items() for h, grams in held)
     return fit([np.frombuffer(grams, np.uint32) for _, grams, _ in ordered], [lang for _, _, lang in ordered])
@@ -185,13 +209,13 @@ def identify(spark: SparkSession, docs: DataFrame, usable: Column | None = None)
 
     def factory():
         model = held.value
-        table = model.table() if model else None
+        presence = Presence(model.grams) if model else None
 
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
             texts = texts_of(batch)
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
-            for a, x, letters in presence(texts, table, len(model.grams)) if model else ():
-                out = (x @ model.landmarks.T) @ model.weights[:-1] + model.weights[-1]
+            for a, x, letters in presence.of(texts) if model else ():
+                out = x @ model.weights + model.bias
                 for r in np.flatnonzero(letters):
                     names[a + r] = model.languages[int(np.argmax(out[r]))]
                     scores[a + r] = min(1.0, max(0.0, float(out[r].max())))

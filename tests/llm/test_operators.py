@@ -212,16 +212,44 @@ def test_all_landmark_grams_count():
 def test_presence_is_that_of_sets():
     import pyarrow as pa
 
-    texts = ["Abc déf", "x", "", "1 2"]
-    grams = np.arange(256, 256 + 65536)[:60_000]
-    table = np.zeros(langid.TOP, np.uint16)
-    table[grams] = np.arange(1, len(grams) + 1)
-    (_, x, letters), = langid.presence(pa.array(texts, pa.large_string()), table, len(grams))
+    texts = ["Abc déf", "x", "", "1 2", "aa  aa aa"]
+    grams = np.arange(257, 60_000)
+    (_, x, letters), = langid.Presence(grams).of(pa.array(texts, pa.large_string()))
     for row, text in zip(x, texts):
         folded = bytes(langid.FOLD[list(text.encode())].astype(np.uint8))
-        want = {256 + folded[i] * 256 + folded[i + 1] for i in range(len(folded) - 1)} & set(grams.tolist())
-        assert {int(grams[k]) for k in np.flatnonzero(row)} == want
-    assert letters.tolist() == [True, True, False, False]
+        every = {folded[i : i + k] for k in (1, 2, 3) for i in range(len(folded) - k + 1)} - {bytes(k) for k in (1, 2, 3)}
+        assert len(every) == len(langid.grams_of(text))
+        want = {256 + g[0] * 256 + g[1] for g in every if len(g) == 2} & set(grams.tolist())
+        assert {int(grams[k]) for k in np.flatnonzero(row)} == want and np.allclose(row[row > 0] ** 2 * len(every), 1)
+    assert letters.tolist() == [True, True, False, False, True]
+
+
+def test_language_is_plain_kernel_ridge(monkeypatch):
+    """All sample texts as landmarks: the same scores as kernel ridge regression on sets, solved in the Nyström features."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(langid, "CELLS", 1 << 12)  # several runs of n-grams
+    draw = np.random.default_rng(9)
+    stock = {"en": ["the", "house", "water", "of"], "fr": ["le", "maison", "eau", "été"], "de": ["der", "haus", "wässer", "und"]}
+    labels = [["en", "fr", "de"][i % 3] for i in range(36)]
+    texts = [" ".join(draw.choice(stock[lang], int(draw.integers(2, 9)))) for lang in labels]
+    asked = [" ".join(draw.choice(stock[lang], 4)) for lang in ("en", "fr", "de", "en")] + ["zzz qqq", "water maison"]
+    model = langid.fit([langid.grams_of(t) for t in texts], labels)
+    (_, x, _), = langid.Presence(model.grams).of(pa.array(asked, pa.large_string()))
+    got = x @ model.weights + model.bias
+
+    def grams(text):
+        folded = bytes(langid.FOLD[list(text.encode())].astype(np.uint8))
+        return {folded[i : i + k] for k in (1, 2, 3) for i in range(len(folded) - k + 1)} - {bytes(k) for k in (1, 2, 3)}
+
+    kernel = lambda a, b: len(grams(a) & grams(b)) / math.sqrt(len(grams(a)) * len(grams(b)))
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    y = np.array([[label == lang for lang in sorted(stock)] for label in labels], float)
+    # min over w, bias: sum of squared errors + RIDGE * n / L * (w K w + bias^2), in the dual form without features
+    ridge = langid.RIDGE * len(texts) / 3
+    alpha = np.linalg.solve(k + 1 + ridge * np.eye(len(texts)), y)
+    want = np.array([[kernel(a, b) + 1 for b in texts] for a in asked]) @ alpha
+    assert np.allclose(got, want, atol=2e-3) and (got.argmax(axis=1) == want.argmax(axis=1)).all()
 
 
 def test_licences(docs, rows, empty):
