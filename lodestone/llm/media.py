@@ -5,16 +5,22 @@ structure (chunk lengths, checksums, trailers) and gives the length, or rejects
 decides the type, whatever was declared; valid media further in are carved, unless they lie inside one already carved
 at that level.
 
+Marks that end a format (a zip's end record, a pdf's startxref, a jpeg's markers) are found once for all places and
+looked up from each, so that many magic numbers in one long value do not each read on to its end.
+
 Nulls and edge cases: null or empty media have the type null and nothing carved. Truncated or damaged media are
-rejected and keep `application/octet-stream`. Repeated rows get the same result each; an empty table gives no rows.
-All columns pass through; `sniffed` is added (or replaced).
+rejected and keep `application/octet-stream`. A very long value is walked whole. Where two formats start at one place
+the one that is valid counts. Repeated rows get the same result each; an empty table gives no rows. All columns pass
+through; `sniffed` is added, in place of a column of that name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -27,16 +33,56 @@ from .common import column, texts_of, with_struct
 UNKNOWN = "application/octet-stream"
 
 
+class Marks:
+    """Places in a value that several validators ask for; each kind is looked for once, when first asked for."""
+
+    def __init__(self, b: bytes) -> None:
+        self.b, self.held = b, {}
+
+    def of(self, mark: bytes) -> list[int]:
+        if mark not in self.held:
+            self.held[mark] = [m.start() for m in re.finditer(re.escape(mark), self.b)]
+        return self.held[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of the mark from `at` on, or -1."""
+        places = self.of(mark)
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else -1
+
+    def marker(self, at: int) -> int:
+        """The first 0xFF from `at` on that is no stuffed or restart byte of a jpeg's scan, or -1."""
+        if "jpeg" not in self.held:
+            a = np.frombuffer(self.b, np.uint8)
+            this, after = a[:-1], a[1:]
+            self.held["jpeg"] = np.flatnonzero((this == 0xFF) & (after != 0) & ((after < 0xD0) | (after > 0xD7)))
+        places = self.held["jpeg"]
+        k = int(np.searchsorted(places, at))
+        return int(places[k]) if k < len(places) else -1
+
+    def archives(self) -> dict[int, int]:
+        """Where zip archives start, by their end records, and the first such record's place."""
+        if "zip" not in self.held:
+            found: dict[int, int] = {}
+            for end in self.of(b"PK\x05\x06"):
+                if end + 22 <= len(self.b):
+                    size, start = _u32(self.b, end + 12), _u32(self.b, end + 16)
+                    if end >= size + start and self.b[end - size : end - size + 4] == b"PK\x01\x02":
+                        found.setdefault(end - size - start, end)
+            self.held["zip"] = found
+        return self.held["zip"]
+
+
 def _u32(b: bytes, at: int) -> int:
     return struct.unpack_from("<I", b, at)[0]
 
 
-def png(b: bytes, at: int) -> int:
+def png(b: bytes, at: int, marks: Marks) -> int:
     """Length, or 0 if it is none: chunks with right checksums, IHDR first, to IEND."""
     p = at + 8
     while p + 12 <= len(b):
         n = struct.unpack_from(">I", b, p)[0]
-        if p + 12 + n > len(b) or (p == at + 8) != (b[p + 4 : p + 8] == b"IHDR"):
+        if p + 12 + n > len(b) or (p == at + 8) != (b[p + 4 : p + 8] == b"IHDR") or p == at + 8 and n != 13:
             return 0
         if zlib.crc32(memoryview(b)[p + 4 : p + 8 + n]) != struct.unpack_from(">I", b, p + 8 + n)[0]:
             return 0
@@ -46,7 +92,7 @@ def png(b: bytes, at: int) -> int:
     return 0
 
 
-def gif(b: bytes, at: int) -> int:
+def gif(b: bytes, at: int, marks: Marks) -> int:
     """Screen, colour tables and blocks to the trailer."""
     if at + 13 > len(b):
         return 0
@@ -68,7 +114,7 @@ def gif(b: bytes, at: int) -> int:
     return 0
 
 
-def jpeg(b: bytes, at: int) -> int:
+def jpeg(b: bytes, at: int, marks: Marks) -> int:
     """Marker segments, at least one scan, to the end marker."""
     p, scans = at + 2, 0
     while p + 4 <= len(b) and b[p] == 0xFF:
@@ -80,14 +126,12 @@ def jpeg(b: bytes, at: int) -> int:
         p += 2 + struct.unpack_from(">H", b, p + 2)[0]
         if marker == 0xDA:
             scans += 1
-            while (p := b.find(b"\xff", p)) >= 0 and p + 1 < len(b) and (b[p + 1] == 0 or 0xD0 <= b[p + 1] <= 0xD7):
-                p += 2
-            if p < 0:
+            if (p := marks.marker(p)) < 0:
                 return 0
     return p + 2 - at if scans and b[p : p + 2] == b"\xff\xd9" else 0
 
 
-def wav(b: bytes, at: int) -> int:
+def wav(b: bytes, at: int, marks: Marks) -> int:
     """RIFF size within the bytes, a fmt chunk before the data chunk, chunks that fill the size."""
     if at + 12 > len(b) or b[at + 8 : at + 12] != b"WAVE":
         return 0
@@ -101,7 +145,7 @@ def wav(b: bytes, at: int) -> int:
     return end - at if p == end and b"data" in seen and b"fmt " in seen[: seen.index(b"data")] else 0
 
 
-def bmp(b: bytes, at: int) -> int:
+def bmp(b: bytes, at: int, marks: Marks) -> int:
     """Sizes of file and header that agree."""
     if at + 26 > len(b):
         return 0
@@ -109,7 +153,7 @@ def bmp(b: bytes, at: int) -> int:
     return n if header in (12, 40, 52, 56, 64, 108, 124) and 14 + header <= start <= n and at + n <= len(b) and not _u32(b, at + 6) else 0
 
 
-def gz(b: bytes, at: int) -> int:
+def gz(b: bytes, at: int, marks: Marks) -> int:
     """A member that inflates with the right checksum; its output is thrown away piece by piece."""
     if at + 18 > len(b) or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return 0
@@ -124,23 +168,18 @@ def gz(b: bytes, at: int) -> int:
     return p - len(d.unused_data) - at if d.eof else 0
 
 
-def zip_(b: bytes, at: int) -> int:
+def zip_(b: bytes, at: int, marks: Marks) -> int:
     """A local header whose archive's end record points back to it."""
-    end = b.find(b"PK\x05\x06", at)
-    while end >= 0 and end + 22 <= len(b):
-        size, start = _u32(b, end + 12), _u32(b, end + 16)
-        if at + start + size == end and b[at + start : at + start + 4] == b"PK\x01\x02":
-            return min(len(b), end + 22 + struct.unpack_from("<H", b, end + 20)[0]) - at
-        end = b.find(b"PK\x05\x06", end + 4)
-    return 0
+    end = marks.archives().get(at, -1)
+    return min(len(b), end + 22 + struct.unpack_from("<H", b, end + 20)[0]) - at if end >= at else 0
 
 
-def pdf(b: bytes, at: int) -> int:
+def pdf(b: bytes, at: int, marks: Marks) -> int:
     """A version, a startxref and the end mark after it."""
     if at + 8 > len(b) or not b[at + 5 : at + 6].isdigit():
         return 0
-    x = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", x) if x >= 0 else -1
+    x = marks.after(b"startxref", at)
+    end = marks.after(b"%%EOF", x) if x >= 0 else -1
     return end + 5 - at if end >= 0 else 0
 
 
@@ -163,11 +202,11 @@ class Sniffer:
         """Type and length of what stands at the start (its own, or unknown and all bytes), and (offset, length, type) of what is embedded."""
         if not b:
             return None, 0, []
-        kind, size, carved, clear = UNKNOWN, len(b), [], 0
+        kind, size, carved, clear, marks = UNKNOWN, len(b), [], 0, Marks(b)
         for end, k in self.automaton.iter(b.decode("latin-1")):
             magic, name, validate = FORMATS[k]
             at = end + 1 - len(magic)
-            if at and at < clear or not (n := validate(b, at)):
+            if at and at < clear or not (n := validate(b, at, marks)):
                 continue
             if at:
                 carved.append((at, n, name))

@@ -351,6 +351,16 @@ def test_carving(spark):
     assert [(r["sniffed"]["type"], r["sniffed"]["corrected"]) for r in media.sniff(df).orderBy("doc_id").collect()] == [("image/png", True), (None, False), (None, False)]
 
 
+def test_sniffing_takes_linear_time():
+    import time
+
+    own = media.Sniffer()
+    for piece in (b"%PDF-1.4 ", b"PK\x03\x04 ", b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x02 ab \xff\x00", b"PK\x03\x04PK\x05\x06" + bytes(18), b"GIF89a", b"RIFF\0\0\0\0WAVE"):
+        began = time.time()
+        own.sniff(b" " + piece * (1_000_000 // len(piece)))
+        assert time.time() - began < 5, piece
+
+
 def test_mixing(spark, docs, rows, empty):
     out = mixing.mix(spark, docs).collect()
     sizes = Counter()
