@@ -97,6 +97,33 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> D
     return held.join(runs, [*groups, "_task"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_task", "_at", "_first", "_before")
 
 
+#: Rows of a numbered group that meet its plan's row in one task, and rows of a plan that are broadcast (some 64 bytes each).
+BLOCK_ROWS, BROADCAST_ROWS = 100_000, 200_000
+
+
+def join_plan(rows: DataFrame, plan: DataFrame, keys: list[str], first: str, end: str, n_plan: int) -> DataFrame:
+    """Rows (numbered in their group, in `_rank`) with the plan's row of their group that holds their number, from `first` to before `end`.
+
+    A plan of a proven size is broadcast. A larger one meets the rows by group and block of numbers, so that a group
+    with a third of all rows spreads over many tasks.
+    """
+    within = (F.col("_rank") >= F.col(first)) & (F.col("_rank") < F.col(end))
+    if n_plan <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(plan), keys).filter(within)
+    block = lambda c: F.floor(c / BLOCK_ROWS)
+    dealt = plan.withColumn("_block", F.explode(F.sequence(block(F.col(first)), block(F.col(end) - 1))))
+    return rows.withColumn("_block", block(F.col("_rank"))).join(dealt, [*keys, "_block"]).filter(within).drop("_block")
+
+
+def join_copies(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Rows with their group's columns; `n` is the group's number of rows. Groups with a thousandth of all rows, at most a thousand, are broadcast."""
+    often = F.col(n) >= max(1000, total // 1000)
+    hot = groups.filter(often).drop(n).withColumn("_hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), key, "left")
+    rest = met.filter("_hot IS NULL").select(*rows.columns)
+    return met.filter("_hot").drop("_hot").unionByName(rest.join(groups.filter(~often).drop(n), key))
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -5,9 +5,13 @@ remaining capacity that still holds them; the open bins stand in a balanced tree
 one size are alike, so the packing runs over the histogram of sizes: its input is bounded (some 90,000 size
 classes), however many documents there are. Which groups of a class go where follows from their number in it.
 
+The driver holds the histogram and the runs: a run for each size class of each bin, so that bins (all bytes over the
+capacity) bound them. Plans beyond a proven size are not broadcast; texts of many copies meet their place in many tasks.
+
 Nulls and edge cases: a null text counts as empty and takes one byte, as an empty one does. A null doc_id is a row
-like any other. Repeated rows are copies and stay together. An empty table gives no rows. Other columns of the
-input are not looked at.
+like any other. Repeated rows are copies and stay together, in any order of their own. Groups of one size class go in
+the order of their text's hash. A very long text is a group like any other; one beyond the capacity is a shard of its
+own. An empty table gives no rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -17,10 +21,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, size_class, text_key
-
-#: Up to so many runs (some 32 bytes each) are broadcast; beyond, the join shuffles.
-BROADCAST_RUNS = 200_000
+from .common import join_copies, join_plan, numbered, scratch, size_class, text_key
 
 
 class RemainingTree:
@@ -126,17 +127,15 @@ def shard_documents(spark: SparkSession, docs: DataFrame, shards: int | None = N
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), text_key(F.col("text")).alias("_key"))
     slim = scratch(slim, "slim")
-    groups = slim.groupBy("_key").agg(F.sum("size").alias("_size")).select("_key", size_class(F.col("_size")).alias("_class"))
+    groups = slim.groupBy("_key").agg(F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n")).select("_key", "_n", size_class(F.col("_size")).alias("_class"))
     groups = numbered(groups, ["_class"], ["_key"], "_rank")
-    classes = [(r["_class"], r["n"]) for r in groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()]
+    found = groups.groupBy("_class").agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("rows")).collect()
+    classes = [(r["_class"], r["n"]) for r in found]
     runs, seen = [], {}
     for size, bin_, n in pack_into(classes, shards) if shards else pack(classes, capacity):
         first = seen.get(size, 0)
         runs.append((size, bin_, first, first + n))
         seen[size] = first + n
     plan = spark.createDataFrame(runs, "_class long, shard int, _from long, _to long")
-    if len(runs) <= BROADCAST_RUNS:
-        plan = F.broadcast(plan)
-    within = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    placed = groups.alias("g").join(plan.alias("p"), (F.col("g._class") == F.col("p._class")) & within).select("_key", "shard")
-    return numbered(slim.join(placed, "_key"), ["shard"], ["doc_id", "_key"], "slot").drop("_key")
+    placed = scratch(join_plan(groups, plan, ["_class"], "_from", "_to", len(runs)).select("_key", "_n", "shard"), "placed")
+    return numbered(join_copies(slim, placed, "_key", "_n", sum(r["rows"] for r in found)), ["shard"], ["doc_id", "_key"], "slot").drop("_key")

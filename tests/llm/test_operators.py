@@ -78,6 +78,9 @@ def test_sharding(spark, docs, rows, empty):
     for r in out:
         homes.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
     assert all(len(s) == 1 for s in homes.values())
+    even = sharding.shard_documents(spark, docs.filter("length(text) < 2000 AND doc_id NOT BETWEEN 80 AND 109"), shards=4).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sums = [r["s"] for r in even]  # the law `bytes`: no further apart than a hundredth of a shard
+    assert len(sums) == 4 and max(sums) - min(sums) <= 0.01 * max(sums)
     assert sharding.shard_documents(spark, empty, shards=4).count() == 0
     small = sharding.shard_documents(spark, docs.filter("length(text) < 2000"), capacity=60_000)
     assert all(r["s"] <= 60_000 for r in small.groupBy("shard").agg(F.sum("size").alias("s")).collect())
@@ -96,7 +99,7 @@ def test_packing_is_best_fit_decreasing():
             free[i] -= s
             want.append((s, i))
         got = [(s, b) for s, b, n in sharding.pack(list(Counter(sizes).items()), 100) for _ in range(n)]
-        assert Counter(s for s, _ in got) == Counter(sizes) and max(b for _, b in got) + 1 == len(free)
+        assert Counter(got) == Counter(want)  # size by size the same homes
         loads = Counter()
         for s, b in got:
             loads[b] += s
@@ -395,6 +398,30 @@ def test_newton_meets_crossed_constraints(spark):
     for r in cells.collect():
         got[r["ks"]] += r["tokens"] * np.exp(sum(lam[k] for k in r["ks"]))
     assert np.allclose(got, [40, 25, 30, 35], rtol=1e-6)
+    with pytest.raises(ValueError):  # the first two and the last two share the same words
+        mixing.balance(cells, np.array([40.0, 25.0, 30.0, 99.0]))
+    many = spark.createDataFrame([([k, 3000 + k // 100], 1.0 + k % 7) for k in range(3000)], "ks array<int>, tokens double")
+    want = np.array([(1.0 + k % 7) * (1 + (k % 3) / 2) for k in range(3000)])
+    lam = mixing.balance(many, np.r_[want, want.reshape(-1, 100).sum(axis=1)])
+    assert np.allclose([(1.0 + k % 7) * np.exp(lam[k] + lam[3000 + k // 100]) for k in range(3000)], want, rtol=1e-5)
+
+
+def test_plans_beyond_broadcast_give_the_same(spark, docs, monkeypatch):
+    from lodestone.llm import common
+
+    want = [sorted(map(repr, df.collect())) for df in (sharding.shard_documents(spark, docs, shards=4), mixing.mix(spark, docs))]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BLOCK_ROWS", 2)
+    assert want == [sorted(map(repr, df.collect())) for df in (sharding.shard_documents(spark, docs, shards=4), mixing.mix(spark, docs))]
+
+
+def test_copies_meet_their_place_with_and_without_broadcast(spark):
+    from lodestone.llm import common
+
+    rows_ = spark.createDataFrame([("hot" if i < 1500 else f"k{i % 50}", i) for i in range(2000)], "k string, i int")
+    groups = rows_.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("v", F.length("k"))
+    out = common.join_copies(rows_, groups, "k", "n", 2000).collect()
+    assert len(out) == 2000 and {r["i"] for r in out} == set(range(2000)) and all(r["v"] == len(r["k"]) for r in out)
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
