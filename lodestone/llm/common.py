@@ -49,14 +49,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def scratch(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputing."""
+def scratch(df: DataFrame, name: str, spent: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputing.
+
+    spent: gets the path, for drop_scratch() once later tables no longer need it.
+    """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if spent is not None:
+        spent.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, spent: list[str], keep: int = 0) -> None:
+    """Remove all but the last `keep` of the paths."""
+    while len(spent) > keep:
+        _remove(spark, spent.pop(0))
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

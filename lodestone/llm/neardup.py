@@ -7,26 +7,34 @@
    with a probability of 5e-6. Each node of a bucket is compared with the bucket's smallest by signature. Where some
    differ from it, those are compared with all of the bucket, in blocks of bounded size. Pairs whose signatures agree
    to at least the threshold less SLACK (over five standard deviations) join a family; most families are tiny.
-3. The full sets of a family's nodes come together, and all its pairs not yet connected are verified exactly on them
-   (in pairs of blocks where a family is large). Only a spanning forest of the true links is written.
+3. Links are verified exactly on full sets. A family within one block comes together, and all its pairs not yet
+   connected are verified. In a larger one the pairs that made it a family are verified first; what they leave apart
+   from its largest connected part is then verified against all of the family, in pairs of blocks. Only a spanning
+   forest of the true links is written.
 4. Links meet in components by alternating large-star and small-star steps in tables. Copies need no pairs: they have
-   one node. Neither links nor components nor signatures come to the driver; a filter of fixed size (4 MB) does.
+   one node. Neither links nor components nor signatures come to the driver; a filter sized by the number of nodes
+   does, up to FILTERED nodes, and beyond them a join takes its place.
+
+Rows of a bucket, a hub or a family meet its counts by the key and a salt, so that none of them is one task's.
 
 Nulls and edge cases: texts without words (null, empty, blank) have no shingles and are linked with nothing, their
-component is their own doc_id. Fewer words than a shingle are one shingle. A null doc_id does not count as smallest
-where its component has another, and is null where it has none. Repeated rows are copies. An empty table gives no
+component is their own doc_id. Fewer words than a shingle are one shingle. A very long text is one set, whole. A null
+doc_id does not count as smallest where its component has another, and is null where it has none. Repeated rows are
+copies. Sets whose 64-bit hashes agree but whose 128-bit hashes do not are different nodes. An empty table gives no
 rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, scratch, ship, slices, text_key, texts_of
+from .common import column, drop_scratch, join_copies, scratch, ship, slices, text_key, texts_of
 from .words import LOWER, SOLID, bounds, grams, hashes, mix
 
 BANDS, ROWS = 40, 6
@@ -36,7 +44,9 @@ SLACK = 0.15
 BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 1024, 1024, 32 << 20
 #: Elements whose ranks are drawn at a time.
 CHUNK = 1 << 15
-FILTER_WORDS = 1 << 19
+#: Up to so many nodes in families a filter (two bytes a node, 64 MB at most) goes to the executors; beyond, a join.
+FILTERED = 1 << 25
+SALTS = 64
 #: Where a node's bits choose a word and a bit of it, twice.
 FILTER_BITS = ((0, 40), (20, 46))
 
@@ -91,12 +101,20 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _nodes(sets: list[np.ndarray]) -> list[int | None]:
-    return [int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "big", signed=True) if len(s) else None for s in sets]
+def _nodes(sets: list[np.ndarray], clash: set[int] = frozenset()) -> list[tuple[int, int] | tuple[None, None]]:
+    """The two halves of each set's hash; the first of those in `clash`, which different sets share, is mixed with the second."""
+    out = []
+    for s in sets:
+        if not len(s):
+            out.append((None, None))
+            continue
+        node, check = struct.unpack(">qq", xxhash.xxh3_128_digest(s.tobytes()))
+        out.append((node ^ check if node in clash else node, check))
+    return out
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, _key (of the text), n_shingles, node (of the set; null if it is empty) and signature of each row."""
+    """doc_id, _key (of the text), n_shingles, node and check (of the set; null if it is empty) and signature of each row."""
 
     def run(batches):
         for batch in batches:
@@ -106,14 +124,17 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 nodes = _nodes(sets)
                 first = {}
                 for r, node in enumerate(nodes):
-                    if node is not None:
+                    if node[0] is not None:
                         first.setdefault(node, r)  # copies near one another are signed once
                 signed = dict(zip(first, superminhash([sets[r] for r in first.values()])))
-                held = [signed[node].tobytes() if node is not None else None for node in nodes]
-                yield pa.RecordBatch.from_arrays([ids[i:j], keys[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "_key", "n_shingles", "node", "signature"])
+                held = [signed[node].tobytes() if node[0] is not None else None for node in nodes]
+                yield pa.RecordBatch.from_arrays(
+                    [ids[i:j], keys[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array([n for n, _ in nodes], pa.int64()), pa.array([c for _, c in nodes], pa.int64()), pa.array(held, pa.binary())],
+                    names=["doc_id", "_key", "n_shingles", "node", "check", "signature"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).mapInArrow(run, f"doc_id {kind}, _key binary, n_shingles long, node long, signature binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).mapInArrow(run, f"doc_id {kind}, _key binary, n_shingles long, node long, check long, signature binary")
 
 
 def _signatures(values: pa.Array) -> np.ndarray:
@@ -143,19 +164,30 @@ class Forest:
         return True
 
 
+def with_group(rows: DataFrame, key: str, member: str, *aggregates, least: int = 1) -> DataFrame:
+    """Rows with the aggregates of their key's rows. A key's rows meet them by the key and a salt of the member, so that a hot key spreads. Keys of fewer than `least` rows go."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_salt"))
+    groups = salted.groupBy(key).agg(*aggregates, F.bit_or(one).alias("_salts"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= least).drop("_rows")
+    there = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.call_function("shiftright", F.col("_salts"), i).bitwiseAND(F.lit(1)) == 1)
+    groups = groups.withColumn("_salt", F.explode(there)).drop("_salts")
+    return salted.join(groups, [key, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of the edges (a, b); alternating large-star and small-star."""
-    held = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spent = []
+    held = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", spent)
     seen = None
     while True:
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        met = large.join(least, "a")
+        met = with_group(both, "a", "b", F.least(F.min("b"), F.first("a")).alias("m"))
+        large = met.filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        met = with_group(large, "a", "b", F.min("b").alias("m"))
         small = met.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(met.select("a", F.col("m").alias("b"))).distinct()
-        held = scratch(small, "edges")
+        held = scratch(small, "edges", spent)
         now = tuple(held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
+        drop_scratch(held.sparkSession, spent, keep=1)  # a round needs the one before alone
         if now == seen:
             break
         seen = now
@@ -172,8 +204,7 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(column(batch, "node")), BANDS))], names=["bucket", "node"])
 
     rows = nodes.mapInArrow(exploded, "bucket long, node long")
-    buckets = rows.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch(rows.join(buckets, "bucket"), "buckets")
+    members = scratch(with_group(rows, "bucket", "node", F.min("node").alias("center"), F.count(F.lit(1)).alias("n"), least=2), "buckets")
     near = scratch(nodes.join(members.select("node").distinct(), "node", "left_semi"), "near")
 
     def compared(batches):
@@ -192,10 +223,13 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
     # The nodes apart from their bucket's center meet all others of the bucket, block by block.
     odd = members.join(apart, ["node", "center"]).select("bucket", "node")
     odd = scratch(odd.withColumn("odd", F.lit(True)), "odd")
-    sizes = odd.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_odd"))
-    mixed = members.join(sizes, "bucket").join(odd, ["bucket", "node"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
-    blocks, sides = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"), F.ceil(F.col("n_odd") / BUCKET_BLOCK).cast("int")
-    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), sides).cast("int"))
+    blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
+    sizes = odd.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_odd")).join(members.filter("node = center").select("bucket", "n"), "bucket")
+    sizes = sizes.select("bucket", "n_odd", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    mixed = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(sizes, ["bucket", "block"])
+    mixed = mixed.join(odd, ["bucket", "node"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    sides = F.ceil(F.col("n_odd") / BUCKET_BLOCK).cast("int")
+    mixed = mixed.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), sides).cast("int"))
     base = mixed.select("bucket", "node", "odd", "block", F.explode(F.sequence(F.lit(0), sides - 1)).alias("side"), F.lit(False).alias("probe"))
     probes = mixed.filter("odd").select("bucket", "node", "odd", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "side", F.lit(True).alias("probe"))
 
@@ -219,12 +253,13 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
     return edges.union(met.groupBy("bucket", "block", "side").applyInArrow(connect, "a long, b long").distinct())
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the nodes, two bits each; nodes are hashes, so parts of their own bits choose."""
-    places = [F.struct(F.pmod(F.shiftright("node", word), F.lit(FILTER_WORDS)).alias("w"), F.pmod(F.shiftright("node", bit), F.lit(64)).cast("int").alias("bit")) for word, bit in FILTER_BITS]
+def _filter_bits(nodes: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over n nodes, two bits each of some sixteen; nodes are hashes, so parts of their own bits choose."""
+    size = 1 << max(10, (n // 4).bit_length())
+    places = [F.struct(F.pmod(F.shiftright("node", word), F.lit(size)).alias("w"), F.pmod(F.shiftright("node", bit), F.lit(64)).cast("int").alias("bit")) for word, bit in FILTER_BITS]
     words_ = nodes.select(F.explode(F.array(*places)).alias("at")).select("at.w", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at.bit")).alias("x"))
     held = words_.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[held["w"].to_numpy()] = held["x"].to_numpy()
     return out
 
@@ -233,7 +268,7 @@ def _admitted(nodes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Which nodes the filter admits."""
     keep = np.ones(len(nodes), bool)
     for word, bit in FILTER_BITS:
-        keep &= (bits[(nodes >> word) % FILTER_WORDS] >> ((nodes >> bit) % 64)) & 1 == 1
+        keep &= (bits[(nodes >> word) % len(bits)] >> ((nodes >> bit) % 64)) & 1 == 1
     return keep
 
 
@@ -263,54 +298,118 @@ def linked(sets: list[np.ndarray], threshold: float, cut: int | None = None) ->
     return out
 
 
+def _sets(members: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    held = members.combine_chunks()
+    return [np.frombuffer(held[int(i)].as_buffer(), np.uint64) for i in order]
+
+
+def _pairs(node: np.ndarray, order: np.ndarray, got: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in got], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in got], pa.int64())})
+
+
+def _large_links(large: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """Links of families beyond a block. large: family, node, members, n, blocks; edges: the pairs that made the families."""
+    percent = round(threshold * 100)
+    near = edges.select(F.col("a").alias("node"), F.col("b").alias("center")).filter("node <> center").distinct().join(large.select("node"), "node", "left_semi")
+    near = with_group(near, "center", "node", F.count(F.lit(1)).alias("degree"))
+    near = near.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / FAMILY_BLOCK)).cast("int")).select("node", "center", "part")
+    sets = large.select("node", "members")
+    asks = near.join(sets, "node").select("center", "part", "node", "members", F.lit(False).alias("is_center"))
+    centers = near.select("center", "part").distinct().join(sets.select(F.col("node").alias("center"), "members"), "center")
+    centers = centers.select("center", "part", F.col("center").alias("node"), "members", F.lit(True).alias("is_center"))
+
+    def star(table: pa.Table) -> pa.Table:
+        node, order = table["node"].to_numpy(), np.argsort(~table["is_center"].to_numpy(zero_copy_only=False), kind="stable")
+        held, found = _sets(table["members"], order), []
+        if table["is_center"][int(order[0])].as_py():
+            for k in range(1, len(held)):
+                common = int(np.isin(held[k], held[0], assume_unique=True).sum())
+                if 100 * common >= percent * (len(held[0]) + len(held[k]) - common):
+                    found.append((0, k))
+        return _pairs(node, order, found)
+
+    dealt = asks.union(centers).repartition("center", "part")
+    links = scratch(dealt.groupBy("center", "part").applyInArrow(star, "a long, b long"), "links")
+    parts = large.select("family", "node", "n", "blocks").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = scratch(parts, "parts")
+    sizes = parts.groupBy("family", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("family").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("k"))
+    apart = scratch(largest.filter("all > k").select("family", "main", (F.col("all") - F.col("k")).alias("n_rest")), "apart")
+    if apart.isEmpty():
+        return links
+    # What is apart from the largest part meets all of the family, block by block.
+    sides = F.ceil(F.col("n_rest") / FAMILY_BLOCK).cast("int")
+    spread = apart.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = parts.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")).join(spread, ["family", "block"])
+    rows = rows.withColumn("rest", F.col("root") != F.col("main")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("node", F.lit(4)), sides).cast("int")).join(sets, "node")
+    base = rows.select("family", "node", "members", "block", F.explode(F.sequence(F.lit(0), sides - 1)).alias("side"), F.lit(False).alias("probe"))
+    probes = rows.filter("rest").select("family", "node", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "side", F.lit(True).alias("probe"))
+
+    def rest(table: pa.Table) -> pa.Table:
+        node, probe = table["node"].to_numpy(), table["probe"].to_numpy(zero_copy_only=False)
+        order = np.argsort(~probe, kind="stable")
+        return _pairs(node, order, linked(_sets(table["members"], order), threshold, int(probe.sum()))) if probe.any() and not probe.all() else _pairs(node, order, [])
+
+    met = base.union(probes).repartition("family", "block", "side")
+    return links.union(met.groupBy("family", "block", "side").applyInArrow(rest, "a long, b long").filter("a <> b"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and _key (of the text) of each row. The smallest doc_id of a component names it."""
     ship(spark)
     held = scratch(sketch(docs, k), "sketch")
-    nodes = scratch(held.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("first_doc")), "nodes")
-    families = components(_families(nodes.select("node", "signature"), threshold - SLACK)).withColumnRenamed("root", "family")
-    families = scratch(families, "families")
-    bits = spark.sparkContext.broadcast(_filter_bits(families))
+    nodes = held.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"), (F.min("check") != F.max("check")).alias("clash"))
+    nodes = scratch(nodes, "nodes")
+    clash = {r["node"] for r in nodes.filter("clash").select("node").collect()}  # chance hits of 64 bits, some n * n / 2**65 of n nodes
+    if clash:
+        mixed = F.when(F.col("node").isin(*clash), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node"))
+        held = scratch(held.withColumn("node", mixed), "sketch")
+        nodes = scratch(held.filter("node IS NOT NULL").groupBy("node").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles")), "nodes")
+    edges = scratch(_families(nodes.select("node", "signature"), threshold - SLACK), "edges")
+    families = components(edges).withColumnRenamed("root", "family").join(nodes.select("node", "n_shingles"), "node")
+    sized = with_group(families, "family", "node", F.count(F.lit(1)).alias("n"), F.sum(8 * F.col("n_shingles")).alias("size"))
+    families = scratch(sized.select("family", "node", "n", F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("size") / FAMILY_BYTES)).cast("int").alias("blocks")), "families")
+    n_families = families.count()
+    asked = docs.select("text")
+    if filtered := n_families <= FILTERED:
+        bits = spark.sparkContext.broadcast(_filter_bits(families, n_families))
+    else:
+        keys = held.join(families.select("node"), "node", "left_semi").select("_key").distinct()
+        asked = docs.select("text", text_key(F.col("text")).alias("_key")).join(keys, "_key", "left_semi").select("text")
 
     def sets_of(batches):
         for batch in batches:
             seen: set[int] = set()
             for _, _, data, offsets in slices(texts_of(batch)):
                 sets = shingle_sets(data, offsets, k)
-                rows = {node: members for node, members in zip(_nodes(sets), sets) if node is not None and node not in seen}
+                rows = {node: members for (node, _), members in zip(_nodes(sets, clash), sets) if node is not None and node not in seen}
                 seen |= rows.keys()
                 nodes_ = np.array(list(rows), np.int64)
-                kept = nodes_[_admitted(nodes_, bits.value)].tolist()
+                kept = nodes_[_admitted(nodes_, bits.value)].tolist() if filtered else nodes_.tolist()
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([rows[node].tobytes() for node in kept], pa.binary())], names=["node", "members"])
 
-    found = docs.select("text").mapInArrow(sets_of, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    found = asked.mapInArrow(sets_of, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
     found = scratch(found.join(families, "node"), "members")
-    sizes = found.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("members")).alias("size"))
-    blocks = F.greatest(F.ceil(F.col("n") / FAMILY_BLOCK), F.ceil(F.col("size") / FAMILY_BYTES)).cast("int")
-    # Tiny families share tasks by their own key; large ones are dealt in pairs of blocks.
-    dealt = found.join(sizes, "family").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select("family", "node", "members", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    dealt = dealt.repartition("family", "low", "high")  # else the join's dealing by family alone would do
 
     def verify(table: pa.Table) -> pa.Table:
-        node, block = table["node"].to_numpy(), table["block"].to_numpy()
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        order = np.argsort(block, kind="stable")
-        members = table["members"].combine_chunks()
-        sets = [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in order]
-        got = linked(sets, threshold, None if low == high else int((block == low).sum()))
-        return pa.table({"a": pa.array([int(node[order[i]]) for i, _ in got], pa.int64()), "b": pa.array([int(node[order[j]]) for _, j in got], pa.int64())})
-
-    links = dealt.groupBy("family", "low", "high").applyInArrow(verify, "a long, b long")
+        node = table["node"].to_numpy()
+        order = np.arange(len(node))
+        return _pairs(node, order, linked(_sets(table["members"], order), threshold))
+
+    links = found.filter("blocks = 1").select("family", "node", "members").groupBy("family").applyInArrow(verify, "a long, b long")
+    large = found.filter("blocks > 1")
+    if not large.isEmpty():
+        links = links.union(_large_links(large, edges, threshold))
     roots = components(links)
     named = nodes.select("node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = scratch(named, "named")
-    least = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    out = held.select("doc_id", "_key", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "_key")
+    named = scratch(with_group(named, "root", "node", F.min("first_doc").alias("component_id")).select("node", "component_id"), "named")
+    worded = held.filter("node IS NOT NULL")
+    copies = worded.groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    out = join_copies(worded.select("doc_id", "_key", "n_shingles", "node"), named.join(copies, "node"), "node", "_n", worded.count())
+    alone = held.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "_key")
+    return out.select("doc_id", "n_shingles", "component_id", "_key").union(alone)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, k: int = 5, threshold: float = 0.8) -> DataFrame:

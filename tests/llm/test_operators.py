@@ -503,9 +503,34 @@ def test_near_duplicates(spark, docs, rows, k, monkeypatch):
     if k == 2:  # the same with tiny blocks
         monkeypatch.setattr(neardup, "FAMILY_BLOCK", 3)
         monkeypatch.setattr(neardup, "BUCKET_BLOCK", 4)
+        monkeypatch.setattr(neardup, "FILTERED", 0)  # and with a join in the filter's place
         assert by_row(neardup.near_duplicates(spark, docs, k), "n_shingles", "component_id") == want
 
 
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """Two groups that look alike without a link between them, chains, and some apart from both, in families of many blocks."""
+    draw, rows_ = np.random.default_rng(21), []
+    base = [f"w{i}" for i in range(60)]
+    for i in range(40):
+        w = list(base)
+        for at in draw.choice(60, int(draw.integers(0, 13)), replace=False):
+            w[at] = f"x{draw.integers(90)}"
+        rows_.append((i, " ".join(w), None, None))
+    want = brute_components(rows_, 1, 80)
+    assert len({c for _, _, c in want}) > 1
+    df = spark.createDataFrame([(d, t) for d, t, _, _ in rows_], "doc_id long, text string").repartition(3)
+    for block in (4, 1024):
+        monkeypatch.setattr(neardup, "FAMILY_BLOCK", block)
+        assert by_row(neardup.near_duplicates(spark, df, 1), "n_shingles", "component_id") == want
+
+
+def test_nodes_that_share_a_hash_are_told_apart():
+    sets = [np.arange(n, dtype=np.uint64) for n in (0, 1, 2, 3)]
+    plain = neardup._nodes(sets)
+    mixed = neardup._nodes(sets, {plain[1][0]})
+    assert plain[0] == (None, None) and mixed[1] == (plain[1][0] ^ plain[1][1], plain[1][1]) and mixed[2:] == plain[2:]
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert neardup.near_duplicates(spark, empty).count() == 0
 
