@@ -4,10 +4,14 @@ A document's words stream through the automaton. At each word it knows the longe
 stands in some template (the matching statistic). Words of no template reset it, so only runs of template words are
 walked. Matches of MIN_MATCH words or more are chained in order for each template, and a template is found if its
 chain covers enough of it. Each place where a template stands is a span: the best chain's words are taken out and the
-rest is chained anew, and a chain is cut where the template goes back if both sides cover enough. Base phrases are templates of their own; each place where one stands is counted.
+rest is chained anew, and a chain is cut where the template goes back if both sides cover enough. Templates share
+wording; where spans of two lie over each other, the one whose template is covered more stays. Base phrases are
+templates of their own; each place where one stands is counted.
 
-Nulls and edge cases: a null or empty text has no words, no places and no labels. Repeated rows get the same result
-each. An empty table gives no rows. All columns pass through; `licence` is added (or replaced).
+Nulls and edge cases: a null or empty text has no words, no places and no labels. A very long text is scanned whole;
+memory follows its matches. Of chains that cover as much the shortest in the document counts, and of these one in the
+middle; of templates that cover equally over each other the first in the list. Repeated rows get the same result
+each. An empty table gives no rows. All columns pass through; `licence` is added, in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -20,16 +24,19 @@ from pyspark.sql import types as T
 from .common import slices, texts_of, with_struct
 from .words import ALNUM, LOWER, bounds, hashes
 
-# Openings and operative sentences of public licences (SPDX), lower-cased, words only.
+# The texts of public licences (MIT, BSD, ISC, zlib, Unlicense), and of the notices that others are applied
+# by (Apache, GPL, LGPL, AGPL, MPL, CC BY), lower-cased, words only.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "apache": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
+    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details you should have received a copy of the gnu lesser general public license along with this library if not write to the free software foundation inc 51 franklin street fifth floor boston ma 02110 1301 usa",
+    "agpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details you should have received a copy of the gnu affero general public license along with this program if not see https www gnu org licenses",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution",
     "cc-by": "this work is licensed under a creative commons attribution 4 0 international license to view a copy of this license visit",
 }
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -129,8 +136,8 @@ def _clip(hits: list[tuple[int, int, int]], first: int, end: int) -> list[tuple[
     return sorted(out)
 
 
-def _spans(hits: list[tuple[int, int, int]], total: int, top: tuple[int, int, int]) -> list[tuple[int, int]]:
-    """First and end word of all chains that cover enough, in order; no two overlap."""
+def _spans(hits: list[tuple[int, int, int]], total: int, top: tuple[int, int, int]) -> list[tuple[int, int, int]]:
+    """First and end word of all chains that cover enough, and the words they cover, in order; no two overlap."""
     out, left = [], [(hits, top)]
     while left:
         hits, (covered, first, end) = left.pop()
@@ -145,7 +152,7 @@ def _spans(hits: list[tuple[int, int, int]], total: int, top: tuple[int, int, in
                     break
                 parts = []
         if not parts:
-            out.append((first, end))
+            out.append((first, end, covered))
             parts = [(p, _best(p, total)) for p in (_clip(hits, 0, first), _clip(hits, end, hits[-1][0]))]
         left += parts
     return sorted(out)
@@ -201,8 +208,8 @@ class Scanner:
             found.append((previous + 1, size, state))
         return found, places
 
-    def chain(self, found: list[tuple[int, int, int]]) -> dict[int, tuple[float, list[tuple[int, int]]]]:
-        """For each template the share that the best chain covers, and first and end word of each chain that covers enough."""
+    def chain(self, found: list[tuple[int, int, int]]) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
+        """For each template the share that the best chain covers, and first, end and number of covered words of each chain that covers enough."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, size, state in found:
             for which, ends in self.automaton.places[state].items():
@@ -213,7 +220,17 @@ class Scanner:
             total, hits = len(self.sequences[which]), sorted(hits)
             top = _best(hits, total)
             out[which] = (min(1.0, top[0] / total), _spans(hits, total, top) if top[0] / total >= COVERED else [])
-        return out
+        return self._apart(out)
+
+    def _apart(self, found: dict[int, tuple[float, list[tuple[int, int, int]]]]) -> dict[int, tuple[float, list[tuple[int, int, int]]]]:
+        """Without spans of which half or more lies over a span that covers a larger share of another template."""
+        spans = sorted((-covered / len(self.sequences[which]), which, first, end, covered) for which, (_, held) in found.items() for first, end, covered in held)
+        taken, kept = np.zeros(max((end for *_, end, _ in spans), default=0), bool), {which: [] for which in found}
+        for _, which, first, end, covered in spans:
+            if 2 * np.count_nonzero(taken[first:end]) < end - first:
+                taken[first:end] = True
+                kept[which].append((first, end, covered))
+        return {which: (share, sorted(kept[which])) for which, (share, _) in found.items()}
 
     def batch(self, batch: pa.RecordBatch) -> list[pa.Array]:
         out: list[list] = [[] for _ in FIELDS]
@@ -235,9 +252,9 @@ class Scanner:
                 found, places = self.matches(token[a:b].tolist(), (known[a:b] - begins[r]).tolist()) if b > a else ([], [])
                 chains = self.chain(found) if found else {}
                 base = sorted({PHRASES[self.names[p]] for _, p in places})
-                more = {self.names[w] for w, (share, _) in chains.items() if share >= COVERED}
+                more = {self.names[w] for w, (_, held) in chains.items() if held}
                 score = max([0.5 if base else 0.0, *(share for share, _ in chains.values())])
-                spans = [f"{self.names[w]}:{x}-{y}" for w, (_, held) in sorted(chains.items()) for x, y in held]
+                spans = [f"{self.names[w]}:{x}-{y}" for w, (_, held) in sorted(chains.items()) for x, y, _ in held]
                 at = [s for s, _ in places]
                 row = (int(begins[r + 1] - begins[r]), len(at), min(at, default=None), max(at, default=None), base, sorted({*base, *more}), float(score), spans)
                 for column, value in zip(out, row):
@@ -249,7 +266,7 @@ class Scanner:
 def scan(docs: DataFrame) -> DataFrame:
     """The documents with `licence`: words, places of base phrases, labels, score and covered template spans.
 
-    Matches that lie too far apart (four times the template's length) are not chained. The score is the largest share
+    Matches that lie further apart than four times the template's length belong to different copies of it. The score is the largest share
     of a template that is covered, or 0.5 if a base phrase stands in the text and that is more.
     """
     return with_struct(docs, "licence", FIELDS, lambda: Scanner().batch)

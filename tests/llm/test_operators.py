@@ -268,7 +268,7 @@ def test_licences(docs, rows, empty):
     out = licenses.scan(docs).select("doc_id", "licence.*").withColumn("base", F.array_join("base_labels", ","))
     assert by_row(out, "n_words", "n_base", "first_word", "last_word", "base") == sorted(((d, *brute(t)) for d, t, _, _ in rows), key=repr)
     found = {r["doc_id"]: r for r in out.collect()}
-    assert found[129]["labels"] == ["bsd"] and found[129]["score"] == 1.0 and found[129]["spans"] == ["bsd:2-23"]
+    assert found[129]["labels"] == ["bsd"] and found[129]["score"] == 1.0 and found[129]["spans"] == [f"bsd:2-{2 + len(licenses.TEMPLATES['bsd'].split())}"]
     assert licenses.scan(empty).count() == 0
 
 
@@ -289,12 +289,18 @@ def test_licences_of_a_file_of_notices():
             w += text
     assert spans(" ".join(w)) == [f"{n}:{x}-{y}" for k in ("mit", "bsd") for n, x, y in want if n == k]
     # two damaged copies, one without its end and one without its start
-    assert spans(" ".join([*mit[:40], "and", "so", "on", *mit[12:]])) == ["mit:0-40", f"mit:43-{43 + len(mit) - 12}"]
+    assert spans(" ".join([*mit[:120], "and", "so", "on", *mit[36:]])) == ["mit:0-120", f"mit:123-{123 + len(mit) - 36}"]
+    # notices that share most of their wording
+    for name in ("gpl", "lgpl", "agpl", "isc", "zlib", "unlicense", "apache", "mpl"):
+        own = licenses.TEMPLATES[name].split()
+        assert spans(" ".join(["x", *own, "y"])) == [f"{name}:1-{1 + len(own)}"], name
+    two_clause = [*bsd[: bsd.index("neither") - 1], *bsd[bsd.index("permission") + 1 :]]
+    assert [x.split(":")[0] for x in spans(" ".join(two_clause))] == ["bsd"]
     # words changed within each copy
     torn = [*bsd[:9], "odd", *bsd[10:]]
     assert spans(" ".join([*torn, "x1", *torn])) == [f"bsd:0-{len(bsd)}", f"bsd:{len(bsd) + 1}-{2 * len(bsd) + 1}"]
     began = time.time()
-    assert len(spans(" ".join(mit * 2000))) == 2000 and time.time() - began < 30
+    assert len(spans(" ".join(mit * 700))) == 700 and time.time() - began < 30
 
 
 def test_suffix_automaton_matching_statistics():
