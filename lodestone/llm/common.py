@@ -151,7 +151,9 @@ def with_struct(df: DataFrame, name: str, fields: list[T.StructField], factory:
     factory runs once in each task and gives the function from a batch to the struct's fields.
     """
     ship(df.sparkSession)
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()])
+    own = [c for c in df.columns if c.lower() != name.lower()]
+    # mapInArrow() can't take names with dots or backquotes
+    kept = df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(f"_lodestone_{i}" if set(".`") & set(c) else c) for i, c in enumerate(own)])
     schema = T.StructType([*kept.schema.fields, T.StructField(name, T.StructType(fields))])
     names = [f.name for f in fields]
 
@@ -161,7 +163,7 @@ def with_struct(df: DataFrame, name: str, fields: list[T.StructField], factory:
             struct = pa.StructArray.from_arrays(make(batch), names=names)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema).toDF(*own, name)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

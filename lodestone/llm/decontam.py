@@ -209,8 +209,8 @@ def _bits(hashed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [((hashed >> np.uint64(a)) % np.uint64(FILTER_WORDS), (hashed >> np.uint64(b)) % np.uint64(64)) for a, b in ((0, 40), (21, 52))]
 
 
-def _candidates(spark: SparkSession, docs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The documents with `decon` as of no hits, and CARRIED true where the filter lets a document through."""
+def _candidates(spark: SparkSession, docs: DataFrame, blocks: DataFrame, into: str) -> DataFrame:
+    """The documents with what no hits give, and `through` true in it where the filter lets a document through."""
 
     def marked(batches):
         held, lengths = np.zeros(FILTER_WORDS, np.uint64), set()
@@ -254,33 +254,33 @@ def _candidates(spark: SparkSession, docs: DataFrame, blocks: DataFrame) -> Data
 
         return make
 
-    return with_struct(docs, "decon", [*FIELDS, T.StructField("through", T.BooleanType())], factory)
+    return with_struct(docs, into, [*FIELDS, T.StructField("through", T.BooleanType())], factory)
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with `decon`: n_words, n_hit, item_ids (sorted), spans (start and end word of each run that is hit, in turn)."""
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, into: str = "decon") -> DataFrame:
+    """The documents with `decon` (or the name given in `into`): n_words, n_hit, item_ids (sorted), spans (start and end word of each run that is hit, in turn)."""
     items = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size <= block_bytes:
         rows = items.distinct().collect()
         held = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        return with_struct(docs, "decon", FIELDS, lambda: _searcher(held.value, False))
+        return with_struct(docs, into, FIELDS, lambda: _searcher(held.value, False))
     blocks = scratch(_blocks(items, block_bytes), "blocks")
-    parted = scratch(_candidates(spark, docs, blocks), "decon")
-    fields = [F.col(f"decon.{f.name}").alias(f.name) for f in FIELDS]
-    same = lambda flag: parted.filter(F.col("decon.through") == flag).withColumn("decon", F.struct(*fields))
+    parted = scratch(_candidates(spark, docs, blocks, into), "decon")
+    fields = [F.col(into)[f.name].alias(f.name) for f in FIELDS]
+    same = lambda flag: parted.filter(F.col(into)["through"] == flag).withColumn(into, F.struct(*fields))
     out = same(True)
     for b in [r["block"] for r in blocks.select("block").distinct().orderBy("block").collect()]:
         rows = blocks.filter(F.col("block") == b).collect()
         held = spark.sparkContext.broadcast(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        found = with_struct(out.withColumnRenamed("decon", CARRIED), "decon", FIELDS, lambda held=held: _searcher(held.value, True))
+        found = with_struct(out.withColumnRenamed(into, CARRIED), into, FIELDS, lambda held=held: _searcher(held.value, True))
         out = scratch(found.drop(CARRIED), "decon")
     return out.unionByName(same(False))
 
 
-def contaminated() -> Column:
+def contaminated(found: str = "decon") -> Column:
     """A twentieth of the words or more are inside windows of the benchmark."""
-    return (F.col("decon.n_hit") > 0) & (20 * F.col("decon.n_hit") >= F.col("decon.n_words"))
+    return (F.col(found)["n_hit"] > 0) & (20 * F.col(found)["n_hit"] >= F.col(found)["n_words"])
 
 
 def items_digest() -> Column:

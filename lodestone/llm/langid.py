@@ -203,8 +203,8 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
     return fit([np.frombuffer(grams, np.uint32) for _, grams, _ in ordered], [lang for _, _, lang in ordered])
 
 
-def identify(spark: SparkSession, docs: DataFrame, usable: Column | None = None) -> DataFrame:
-    """The documents with `language`: lang_pred and score (the winning regression, held to 0 to 1). Learns from rows that `usable` admits (all)."""
+def identify(spark: SparkSession, docs: DataFrame, usable: Column | None = None, into: str = "language") -> DataFrame:
+    """The documents with `language` (or the name given in `into`): lang_pred and score (the winning regression, held to 0 to 1). Learns from rows that `usable` admits (all)."""
     held = spark.sparkContext.broadcast(train(docs, F.lit(True) if usable is None else usable))
 
     def factory():
@@ -223,4 +223,4 @@ def identify(spark: SparkSession, docs: DataFrame, usable: Column | None = None)
 
         return make
 
-    return with_struct(docs, "language", FIELDS, factory)
+    return with_struct(docs, into, FIELDS, factory)

@@ -699,14 +699,69 @@ def test_score_is_that_of_plain_softmax_window_by_window():
     assert np.allclose(model.score(*_joined(given)), want, rtol=1e-4)
 
 
-def test_pipeline(spark, tmp_path, rows):
+def _contaminated(text):
+    w, hit = words(text), set()
+    for item in (words(t) for _, t in BENCH):
+        n = min(13, len(item))
+        windows = {tuple(item[k : k + n]) for k in range(len(item) - n + 1)} if n else set()
+        hit |= {k + j for k in range(len(w) - n + 1) if n and tuple(w[k : k + n]) in windows for j in range(n)}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path, rows):
     import corpus_pipeline
 
-    spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    extra = "language string, decon int, _before int, shard int, `a.b` int"
+    kind = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    df = spark.createDataFrame([(*r, None, "own", 7, 8, 9, 10) for r in rows], kind)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {r["doc_id"] for r in out}
-    assert 130 not in ids and 123 not in ids and 81 not in ids and out
+    plain = lambda frame: sorted(((r["doc_id"], r["text"], r["lang"], r["source"]) for r in frame.collect()), key=repr)
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    docs, left = df, list(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name == names[0]:
+            left = [r for r in left if r[1] and any(c.isalpha() for c in r[1])]
+        elif name == names[1]:
+            of = brute_components(left, 5, 80)
+            least = {d: c for d, _, c in of if d is not None}
+            left = [r for k, r in enumerate(left) if (r[0] is None or least[r[0]] == r[0]) and r not in left[:k]]
+        elif name == names[2]:
+            left = [r for r in left if not _contaminated(r[1])]
+        elif name == names[3]:
+            sizes, weight = Counter(), {}
+            for _, t, _, s in left:
+                sizes[s] += len(SOLID.findall(t))
+            order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+            target = dict(zip(order, mixing.capped_targets(np.array([sizes[s] for s in order]), np.array([(1, 2, 3)[i % 3] for i in range(len(order))]), 3)))
+            assert math.isclose(sum(target.values()), sum(sizes.values())) and all(target[s] <= 3 * sizes[s] for s in order)
+            got = Counter(plain(docs))
+            assert set(got) <= set(left) and max(got.values()) <= 3
+            for s in order:
+                taken = sum(n * len(SOLID.findall(r[1])) for r, n in got.items() if r[3] == s)
+                assert abs(taken - target[s]) <= 0.5 * max(len(SOLID.findall(r[1])) for r in left if r[3] == s) + 1
+            left = list(got.elements())
+        else:
+            out = docs.collect()
+            assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out if r["doc_id"] is not None) == sorted((r[0], len(r[1].encode()) + 1, zlib.crc32(r[1].encode())) for r in left if r[0] is not None)
+            assert len(out) == len(left) and len({(r["shard"], r["slot"]) for r in out}) == len(out)
+            break
+        assert docs.columns == df.columns and plain(docs) == sorted(left, key=repr), name
+        assert docs.filter("language <> 'own' OR decon <> 7 OR _before <> 8 OR shard <> 9 OR `a.b` <> 10").count() == 0
+        docs = docs.cache()
+    assert sorted(map(repr, out)) == sorted(map(repr, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
 def test_queries_have_names():
