@@ -37,6 +37,24 @@ AD_PATTERNS = [
     r"廣告|贊助|推薦連結|業配", r"立即購買|點此領取|限時優惠|免費試用", r"立即申辦|馬上申請|立即開通|立即體驗", r"立即下載|掃描立即下載|下載App", r"sponsored|promoted|advertisement",
     r"buy now|click here|free trial|limited offer", r"sign up now|download now|get started free", r"\b(aff|affiliate|partner|tracking|utm_\w+|ref|campaign)(\?|=)",
 ]
+#: Of each advertisement's pattern what a text must hold, in lower case (and a letter that only folds to s).
+AD_STEMS = [
+    "廣告", "贊助", "推薦連結", "業配", "立即購買", "點此領取", "限時優惠", "免費試用", "立即申辦", "馬上申請", "立即開通", "立即體驗", "立即下載", "下載app", "sponsored", "promoted", "advertisement",
+    "buy now", "click here", "free trial", "limited offer", "sign up now", "download now", "get started free", "aff?", "aff=", "affiliate?", "affiliate=", "partner?", "partner=", "tracking?", "tracking=", "utm_",
+    "ref?", "ref=", "campaign?", "campaign=", "ſ",
+]
+#: Of each boilerplate's pattern what a block must hold, in lower case (and letters that only fold to k and s).
+BOILERPLATE_STEMS = [
+    "隱私權政策", "cookie", "關於我們", "聯絡我們", "客服中心", "登入", "回到頂部", "下載", "服務條款", "使用條款", "版權所有", "著作權", "訂閱電子報", "追蹤我們", "分享至", "加入書籤", "場地租借", "意見回饋", "檢舉", "成為", "加入我們",
+    "回報問題", "意見反饋", "立即免費探索", "免費體驗", "立即體驗", "免費試用", "立即開始", "立即加入", "馬上體驗", "立即探索", "privacy", "terms", "about", "contact", "sign", "back", "download", "subscribe", "follow", "share", "newsletter",
+    "right", "©", "report", "join", "careers", "powered", "built", "\u212a", "ſ",
+]
+#: Named entities that occur in text; of the public table.
+NAMED_ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
+    "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶", "shy": "\u00ad",
+    "zwj": "\u200d", "zwnj": "\u200c", "lrm": "\u200e", "rlm": "\u200f", "lbrace": "{", "rbrace": "}", "lbrack": "[", "rbrack": "]", "lsqb": "[", "rsqb": "]", "sol": "/", "colon": ":", "num": "#", "excl": "!", "lpar": "(", "rpar": ")", "Tab": "\t", "NewLine": "\n",
+}
 BOILERPLATE = (
     r"隱私權政策|Cookie\s*政策|關於我們|聯絡我們|客服中心|登入[/／]註冊|登入\s*註冊|回到頂部|下載\s*App|服務條款|使用條款|版權所有|著作權|訂閱電子報|追蹤我們|分享至|加入書籤|場地租借|意見回饋|檢舉|成為.*作者|加入我們|回報問題|意見反饋"
     r"|立即免費探索|免費體驗|立即體驗|免費試用|立即開始|立即加入|馬上體驗|立即探索"
@@ -44,7 +62,8 @@ BOILERPLATE = (
     r"|All\s*Rights?\s*Reserved|©\s*\d{4}|Report\s*(?:a\s*)?Bug|Join\s*Us|Careers|Powered\s*by|Built\s*with"
 )
 
-# Networks that a fetch must not reach (IPv4), and hours after which a result's freshness halves.
+# Networks that a fetch must not reach (IPv6, IPv4), and hours after which a result's freshness halves.
+BLOCKED_NETWORKS_6 = ["::1/128", "fc00::/7", "fe80::/10"]
 BLOCKED_NETWORKS = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.168.0.0/16", "198.18.0.0/15"]
 HALF_LIVES = {"any": 8760.0, "day": 12.0, "week": 84.0, "month": 360.0}
 HALF_LIFE_OTHER = 720.0

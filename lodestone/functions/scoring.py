@@ -56,6 +56,6 @@ def engine_bonus(engines: Column) -> Column:
     return F.least(F.lit(0.1), (F.size(engines) - 1) * 0.05)
 
 
-def hybrid(lexical: Column, semantic: Column, quality_: Column, factor: Column, fresh: Column, lang: Column, bonus: Column, penalty: Column) -> Column:
-    w = WEIGHTS
+def hybrid(lexical: Column, semantic: Column, quality_: Column, factor: Column, fresh: Column, lang: Column, bonus: Column, penalty: Column, weights: dict[str, float] = WEIGHTS) -> Column:
+    w = weights
     return F.round((w["lexical"] * lexical + w["semantic"] * semantic + w["quality"] * quality_ * factor + w["freshness"] * fresh + w["language"] * lang + bonus) * penalty, 4)

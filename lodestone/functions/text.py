@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import AD_PATTERNS, BOT_PATTERNS, INJECTION_PATTERNS, ZH_STOP_WORDS
+from .dims import AD_PATTERNS, AD_STEMS, BOT_PATTERNS, INJECTION_PATTERNS, NAMED_ENTITIES, ZH_STOP_WORDS
 
 CJK = r"[\x{4E00}-\x{9FFF}]"
 DROPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside")
@@ -40,10 +40,23 @@ def is_bot_page(c: Column) -> Column:
     return F.length(text).between(50, 499) & text.rlike("(?iuUs)" + "|".join(f"(?:{p})" for p in BOT_PATTERNS))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Numeric entities, and the named ones of dims.NAMED_ENTITIES, as characters, once; an ampersand that comes out starts none."""
+    number = lambda e: F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);?$", 1)).cast("long")
+    valid = lambda n: n.isNotNull() & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.when(n == 38, F.lit("&amp;")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+    entities = F.array_distinct(F.regexp_extract_all(c, F.lit("(&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?)"), F.lit(1)))
+    entities = F.array_sort(entities, lambda a, b: F.length(b) - F.length(a))  # with the semicolon before without
+    out = F.when(F.contains(c, F.lit("&#")), F.aggregate(entities, c, lambda s, e: F.when(valid(number(e)), F.replace(s, e, char(number(e)))).otherwise(s))).otherwise(c)
+    for entity, plain in NAMED_ENTITIES.items():
+        if entity != "amp":
+            out = F.replace(out, F.lit(f"&{entity};"), F.lit(plain))
+    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
 
 
 def mask_injection(c: Column) -> Column:
@@ -58,11 +71,25 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), "&[a-zA-Z]+;", " ")
 
 
-def drop_ads(c: Column, patterns: list[str] = AD_PATTERNS) -> Column:
-    """Sentences with an advertisement's words go; if all would, all stay."""
-    pieces = F.filter(F.split(c, r"(?<=[。.!！?？\n])\s*|\s*[·\x{30fb}]\s*"), lambda s: ~s.rlike(r"(?U)^\s*$"))
-    kept = F.filter(pieces, lambda s: ~s.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in patterns)))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(c)
+def holds_any(c: Column, stems: list[str]) -> Column:
+    """Whether the lower-cased text holds one of the strings; far cheaper than a pattern that ignores case."""
+    return let(F.lower(c), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in stems]))
+
+
+def drop_ads(c: Column, patterns: list[str] = AD_PATTERNS, stems: list[str] | None = None) -> Column:
+    """Sentences with an advertisement's words go; if all would, all stay.
+
+    stems: lower-case strings of which a text with an advertisement holds one; the patterns look at no other text.
+    """
+    if stems is None and patterns is AD_PATTERNS:
+        stems = AD_STEMS
+    simple, dots = r"(?<=[。.!！?？\n])\s*", r"\s*[·\x{30fb}]\s*"
+    cut = F.when(F.contains(c, F.lit("·")) | F.contains(c, F.lit("\u30fb")), F.split(c, f"{simple}|{dots}")).otherwise(F.split(c, simple))
+    pieces = F.filter(cut, lambda s: ~s.rlike(r"(?U)^\s*$"))
+    clean = F.filter(pieces, lambda s: ~s.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in patterns)))
+    if stems:
+        clean = F.when(holds_any(c, stems), clean).otherwise(pieces)
+    return let(clean, lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(c))
 
 
 def squeeze(c: Column) -> Column:
@@ -93,7 +120,19 @@ def page_text(html: Column) -> Column:
     return squeeze(F.regexp_replace(html, "(?s)<[^>]*>", " "))
 
 
+LINK, IMAGE = r"\[[^\]]*\]\([^)]+\)", r"!\[[^\]]*\]\([^)]+\)"
+
+
+def _inside(c: Column, pattern: str) -> Column:
+    """Characters in matches of the pattern."""
+    return F.aggregate(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(0), lambda s, x: s + F.length(x))
+
+
 def link_density(c: Column) -> Column:
     """Characters in links and images over all; an image counts as its link too."""
-    total = lambda pattern: F.aggregate(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(0), lambda s, x: s + F.length(x))
-    return F.when(F.length(c) == 0, 0.0).otherwise((total(r"\[[^\]]*\]\([^)]+\)") + total(r"!\[[^\]]*\]\([^)]+\)")) / F.length(c))
+    return F.when((F.length(c) > 0) & F.contains(c, F.lit("](")), (_inside(c, LINK) + _inside(c, IMAGE)) / F.length(c)).otherwise(0.0)
+
+
+def plain_fallback(html: Column) -> Column:
+    """page_text() where it is over 100 characters, else null; what it gives counts as partial."""
+    return let(page_text(html), lambda t: F.when(F.length(t) > 100, t))

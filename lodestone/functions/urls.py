@@ -7,7 +7,7 @@ import ipaddress
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dims import BLOCKED_NETWORKS, TRACKING_PARAMS
+from .dims import BLOCKED_NETWORKS, BLOCKED_NETWORKS_6, SKIP_DOMAINS, TRACKING_PARAMS
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -70,11 +70,49 @@ def blocked(address: Column) -> Column:
     return out
 
 
+def host(url: Column) -> Column:
+    """Lower-case host without user, port and the brackets of an IPv6 address."""
+    place = F.lower(F.regexp_replace(part(url, 2), "^.*@", ""))
+    return F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(place, r":\d*$", ""))
+
+
+def ipv6(name: Column) -> Column:
+    """The eight groups of a literal address, as 32 hex digits; null for other hosts. A dotted end counts as two groups."""
+    octets = F.split(F.regexp_extract(name, r"((?:\d{1,3}\.){3}\d{1,3})$", 1), r"\.")
+    pair = lambda a, b: F.lower(F.hex(F.try_element_at(octets, F.lit(a)).cast("long") * 256 + F.try_element_at(octets, F.lit(b)).cast("long")))
+    name = F.when(name.rlike(r":(?:\d{1,3}\.){3}\d{1,3}$"), F.concat(F.regexp_replace(name, r"(?:\d{1,3}\.){3}\d{1,3}$", ""), pair(1, 2), F.lit(":"), pair(3, 4))).otherwise(name)
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(name, "::", 1)), groups(F.when(F.contains(name, F.lit("::")), F.substring_index(name, "::", -1)).otherwise(F.lit("")))
+    filled = F.when(F.contains(name, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)).otherwise(left)
+    digits = F.array_join(F.transform(filled, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    return F.when(name.rlike("^[0-9a-fA-F:]*:[0-9a-fA-F:]*$") & ~name.rlike("::.*::|[0-9a-fA-F]{5}|:::") & (F.length(digits) == 32), digits)
+
+
+def blocked6(digits: Column) -> Column:
+    """Of 32 hex digits; an IPv4 address inside is judged as one."""
+    out = F.lit(False)
+    for text in BLOCKED_NETWORKS_6:
+        net = ipaddress.ip_network(text)
+        low, high = f"{int(net[0]):032x}", f"{int(net[-1]):032x}"
+        out = out | digits.between(low, high)
+    return out
+
+
+def blocked_address(address: Column) -> Column:
+    """Whether a literal address lies in a blocked network; null for what is no address."""
+    return F.coalesce(blocked(ipv4(address)), blocked6(ipv6(F.lower(address))))
+
+
 def safe_literal(url: Column) -> Column:
-    """http or https, a host that is not local, and a literal IPv4 address outside the blocked networks (names: null, ask the dns table)."""
-    host = F.lower(F.regexp_replace(F.regexp_replace(part(url, 2), "^.*@", ""), r":\d*$", ""))
-    address = ipv4(host)
-    return F.when(~F.lower(part(url, 1)).isin("http", "https") | (host == "") | host.isin("localhost", "0.0.0.0", "[::]", "[::1]"), F.lit(False)).when(address.isNull(), F.lit(None).cast("boolean")).otherwise(~blocked(address))
+    """http or https, a host that is not local, and a literal address outside the blocked networks; null for names, for which the dns table is asked."""
+    name = host(url)
+    bad = ~F.lower(part(url, 1)).isin("http", "https") | (name == "") | name.isin("localhost", "0.0.0.0", "::", "::1")
+    return F.when(bad, F.lit(False)).otherwise(~blocked_address(name))
+
+
+def skipped(url: Column) -> Column:
+    """Whether the host is one that is never crawled."""
+    return F.lower(part(url, 2)).isin(*SKIP_DOMAINS)
 
 
 def glob(pattern: str) -> str:

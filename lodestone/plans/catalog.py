@@ -7,9 +7,10 @@ import ipaddress
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dims, scoring, text, urls
-from ..operators import crawl, html, ranking, state
+from ..functions import dims, keys, scoring, text, urls
+from ..operators import crawl, evaluation, html, payload, ranking, search, state, validate
 from ..operators import markdown as md
+from ..sources.shared import scratch
 from ..sources.tables import search_results, sitemap_urls, table
 
 AS_OF = "2024-02-01"
@@ -30,6 +31,12 @@ def query(sql: str | None = None):
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small files read as one partition, dealt to as many tasks as a shuffle has: for work of many seconds a row group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("failed", F.col("event_type") == "error")
 
@@ -37,9 +44,9 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     asked = F.broadcast(spark.createDataFrame(list(enumerate(SEARCHES)), "query_id int, q string"))  # three rows
     results = search_results(table(spark, d, "pages")).withColumn("score", F.lit(1.0))
-    each = results.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i in range(len(SEARCHES))])))
-    merged = ranking.merge_exact(each, ["query_id", "url"])
-    return ranking.gate(merged.join(asked, "query_id"))
+    merged = ranking.merge_exact(spread(results), ["url"])  # alike for each search
+    each = merged.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i in range(len(SEARCHES))])))
+    return scratch(ranking.gate(each.join(asked, "query_id")), "candidates")
 
 
 # The relations above as SQL.
@@ -131,7 +138,7 @@ def search_topk(spark: SparkSession, d: str) -> DataFrame:
     """Pages to results, merged, gated, scored by BM25: the ten best of each search."""
     c = _candidates(spark, d)
     held = c.join(ranking.bm25(c), ["query_id", "rank"]).withColumn("score", F.round("bm25", 6))
-    return held.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "rank"))).filter("place <= 10").select("query_id", "rank", "url", "score")
+    return search.numbered_within(held, "query_id", [F.desc("score"), "rank"], 10).select("query_id", "rank", "url", "score")
 
 
 @query(f"WITH {_CANDIDATES}, {_BM25} SELECT query_id, rank, round(bm25, 6) AS bm25 FROM bm25")
@@ -178,10 +185,20 @@ def score_factors(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, 'oc:search:' || substr(sha256(concat_ws(':', trim(substr(text, 1, 40)), 'any', '10', 'True', 'False', 'False', 'False', 'markdown', lang)), 1, 16) AS cache_key FROM documents")
+@query("SELECT doc_id, 'oc:search:' || substr(sha256(concat_ws(':', trim(text), 'any', '10', 'True', CASE WHEN doc_id % 2 = 0 THEN 'True' ELSE 'False' END, 'False', 'False', 'markdown') || CASE WHEN doc_id % 2 = 0 THEN ':1|1|15000|3|True|False' ELSE '' END || CASE WHEN coalesce(lang, '') <> '' THEN ':' || lang ELSE '' END), 1, 16) AS cache_key FROM documents")
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.trim(F.substring("text", 1, 40)), *[F.lit(x) for x in ("any", "10", "True", "False", "False", "False", "markdown")], F.col("lang")]
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("oc:search:"), F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 16)).alias("cache_key"))
+    """Keys of searches for whole texts; every other one asks for a crawl."""
+    yes, no, crawled = F.lit(True), F.lit(False), F.col("doc_id") % 2 == 0
+    options = keys.crawl_options(F.lit(1), F.lit(1), F.lit(15000), F.lit(3), yes, no)
+    made = keys.search(F.col("text"), F.lit("any"), F.lit(10), yes, crawled, no, no, F.lit("markdown"), F.col("lang"), options)
+    return table(spark, d, "documents").select("doc_id", made.alias("cache_key"))
+
+
+@query(f"SELECT page_id, 'oc:content:' || substr(sha256(url), 1, 16) AS content_key, 'oc:robots:' || substr(sha256({_DOMAIN.format(u='url')}), 1, 16) AS robots_key, 'oc:map:' || substr(sha256({_DOMAIN.format(u='url')} || ':*/en/*,*/fr/*'), 1, 16) AS map_key FROM pages")
+def other_keys(spark: SparkSession, d: str) -> DataFrame:
+    place = urls.domain(F.col("url"))
+    patterns = F.array(F.lit("*/en/*"), F.lit("*/fr/*"))
+    return table(spark, d, "pages").select("page_id", keys.content(F.col("url")).alias("content_key"), keys.robots(place).alias("robots_key"), keys.url_map(place, patterns).alias("map_key"))
 
 
 _BOT = "(?is)" + "|".join(f"(?:{p})" for p in dims.BOT_PATTERNS)
@@ -213,7 +230,7 @@ _PIECES = r"list_filter(string_split(regexp_replace(t, '([。.!！?？\n])\s*',
 @query(f"WITH x AS (SELECT doc_id, text || CASE WHEN doc_id % 2 = 0 THEN ' Click here for a free trial.' ELSE '' END AS t FROM documents), y AS (SELECT doc_id, t, list_filter({_PIECES}, lambda s: NOT regexp_matches(s, '{_AD}')) AS kept FROM x) SELECT doc_id, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE t END AS text FROM y")
 def ad_segments(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit(" Click here for a free trial.")).otherwise(""))
-    return table(spark, d, "documents").select("doc_id", text.drop_ads(t).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.drop_ads(t).alias("text"))
 
 
 @query(f"SELECT doc_id, {_cut_sql('text', 200)} AS text FROM documents")
@@ -243,7 +260,7 @@ def dedup_exact_merge(spark: SparkSession, d: str) -> DataFrame:
 def union_page2(spark: SparkSession, d: str) -> DataFrame:
     """The second page of a host's results only where the first has fewer than three."""
     p = table(spark, d, "pages").select("page_id", urls.part(F.col("url"), 2).alias("host"), (1 + F.col("page_id") % 2).alias("page"))
-    return p.withColumn("n1", F.count_if(F.col("page") == 1).over(Window.partitionBy("host"))).filter("page = 1 OR n1 < 3").drop("n1")
+    return search.second_page(p, "host", 3)
 
 
 _LINKS = r"""links AS (SELECT page_id, src, host, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE site || href END AS url, pos FROM (SELECT page_id, url AS src, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) AS site, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host,
@@ -276,8 +293,8 @@ def glob_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT page_id, domain FROM (SELECT page_id, domain, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM (SELECT page_id, {_DOMAIN.format(u='url')} AS domain FROM pages)) WHERE rn = 1")
 def first_per_domain(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", urls.domain(F.col("url")).alias("domain"))
-    return p.groupBy("domain").agg(F.min("page_id").alias("page_id")).select("page_id", "domain")
+    p = table(spark, d, "pages").select("page_id", "url")
+    return search.first_per_domain(p, ["page_id"]).filter("first").select("page_id", "domain")
 
 
 @query("SELECT user_id, event_id, pos, total FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS total FROM events) WHERE pos BETWEEN 5 AND 14")
@@ -299,19 +316,34 @@ isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, link ORDER BY po
 
 @query(f"WITH {_NOTED}, {_LINES} SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM runs WHERE NOT link OR run < 3 GROUP BY doc_id")
 def consecutive_links(spark: SparkSession, d: str) -> DataFrame:
-    return md.drop_link_runs(_noted(spark, d), "doc_id")
+    return _noted(spark, d).select("doc_id", md.drop_link_runs(F.col("text")).alias("text"))
 
 
-@query()
+def _clean_sql(source: str, density: float = 0.5, short: int = 80) -> str:
+    """CTEs from `source` (doc_id, text) to cleaned (doc_id, text), links stripped."""
+    lines = _LINES.replace("FROM noted", f"FROM {source}")
+    inside = lambda p: f"coalesce(list_sum(list_transform(regexp_extract_all(b, '{p}'), lambda x: length(x))), 0)"
+    return f"""{lines},
+calm AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT link OR run < 3), '') AS t FROM runs GROUP BY doc_id),
+cut AS (SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS pos FROM (SELECT doc_id, regexp_split_to_array(t, '\\n\\s*\\n') AS bs FROM calm)),
+trimmed AS (SELECT doc_id, pos, regexp_replace(b, '^\\s+|\\s+$', '', 'g') AS b FROM cut),
+dense AS (SELECT *, length(b) AS n, CASE WHEN length(b) = 0 THEN 0 ELSE ({inside(text.LINK)} + {inside(text.IMAGE)}) / length(b) END AS d FROM trimmed),
+judged AS (SELECT doc_id, pos, b, CASE WHEN n = 0 OR regexp_matches(b, '(?i)(?:{dims.BOILERPLATE})') OR d > CASE WHEN n > 300 THEN least({density + 0.25}, 0.85) WHEN n > 150 THEN least({density + 0.15}, 0.75) ELSE {density} END OR (n < {short} AND d > 0.3) THEN 'bad' WHEN n >= {short} AND d < 0.3 THEN 'good' ELSE 'uncertain' END AS class FROM dense),
+near AS (SELECT *, last_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x, first_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS y FROM judged),
+kept AS (SELECT doc_id, coalesce(string_agg(b, chr(10) || chr(10) ORDER BY pos) FILTER (class = 'good' OR (class = 'uncertain' AND NOT coalesce(x = 'bad' AND y = 'bad', false))), '') AS t FROM near GROUP BY doc_id),
+cleaned AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{text.IMAGE}', '', 'g'), '\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), '(\\d+)\\.\\s+(\\d+)', '\\1.\\2', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM kept)"""
+
+
+@query(f"WITH {_NOTED}, {_clean_sql('noted')} SELECT doc_id, text FROM cleaned")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return md.clean(_noted(spark, d), "doc_id", strip_links=True)
+    return spread(_noted(spark, d)).select("doc_id", md.clean(F.col("text"), links=False).alias("text"))
 
 
 @query("WITH c AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS n FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS s FROM documents)), k AS (SELECT doc_id, pos, CASE WHEN n < 30 THEN 'bad' WHEN n > 300 THEN 'good' ELSE 'uncertain' END AS class FROM c), w AS (SELECT *, last_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM k) SELECT doc_id, pos, CASE WHEN class <> 'uncertain' THEN class WHEN b = 'bad' AND a = 'bad' THEN 'bad' ELSE 'good' END AS class FROM w")
 def block_context(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    n = F.length("line")
-    return md.settle(lines.withColumn("class", F.when(n < 30, "bad").when(n > 300, "good").otherwise("uncertain")), "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "class")
+    classes = F.transform(F.split("text", "\n"), lambda line: F.when(F.length(line) < 30, "bad").when(F.length(line) > 300, "good").otherwise("uncertain"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(md.settle(classes)).alias("pos", "class"))
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), "class")
 
 
 @query("WITH x AS (SELECT *, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) SELECT user_id, count(*) AS length, arg_min(event_id, (ts, event_id)) AS event_id FROM x WHERE event_type = 'error' GROUP BY user_id, island HAVING count(*) >= 2")
@@ -324,12 +356,21 @@ def rate_window(spark: SparkSession, d: str) -> DataFrame:
     return state.requests_in_window(_events(spark, d), "user_id", 6 * 3600).select("event_id", "n_window")
 
 
-@query()
+_ADMITTED = """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk(event_id, user_id, n, times, admitted) AS (SELECT event_id, user_id, n, [tm], true FROM o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.n, CASE WHEN len(list_filter(times, lambda t: tm - t < 21600000000)) < 3 THEN list_append(list_filter(times, lambda t: tm - t < 21600000000), tm) ELSE times END, len(list_filter(times, lambda t: tm - t < 21600000000)) < 3 FROM walk JOIN o ON o.user_id = walk.user_id AND o.n = walk.n + 1)
+SELECT event_id, user_id, admitted FROM walk"""
+
+
+@query(_ADMITTED)
 def rate_limit_exact(spark: SparkSession, d: str) -> DataFrame:
     return state.rate_limit(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", 3, 6 * 3600).select("event_id", "user_id", "admitted")
 
 
-@query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) < 86400000000, false) AS hit FROM events")
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS tm, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+walk(event_id, user_id, event_type, n, stored, hit) AS (SELECT event_id, user_id, event_type, n, tm, false FROM o WHERE n = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.event_type, o.n, CASE WHEN tm - stored < 86400000000 THEN stored ELSE tm END, tm - stored < 86400000000 FROM walk JOIN o ON o.user_id = walk.user_id AND o.event_type = walk.event_type AND o.n = walk.n + 1)
+SELECT event_id, hit FROM walk""")
 def cache_ttl_hits(spark: SparkSession, d: str) -> DataFrame:
     return state.cache_hits(_events(spark, d), ["user_id", "event_type"], 86400).select("event_id", "hit")
 
@@ -349,21 +390,20 @@ def job_recovery(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, n, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE rn = floor((n - 1) * 0.95) + 1")
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return state.percentile_by_index(table(spark, d, "events"), "event_type", "value", 0.95)
+    return evaluation.percentile_by_index(table(spark, d, "events"), "event_type", "value", 0.95)
 
 
 @query("SELECT lang, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good, round(100.0 * sum(quality) / count(*), 4) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
 def quality_rollup(spark: SparkSession, d: str) -> DataFrame:
     held = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id")
-    return held.rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").cast("long").alias("good"), F.round(100.0 * F.sum("quality") / F.count(F.lit(1)), 4).alias("rate"))
+    return evaluation.rate(held, "lang", F.col("quality") == 1).withColumnRenamed("hits", "good")
 
 
 @query(f"WITH {_CANDIDATES}, {_BM25}, {_TFIDF}, {_SCORED} SELECT query_id, max((rank IS NOT NULL AND ({_DOMAIN.format(u='url')} = 'example.net' OR ends_with({_DOMAIN.format(u='url')}, '.example.net')))::INT) AS hit FROM ranked WHERE place <= 5 GROUP BY 1")
 def relevance_hits(spark: SparkSession, d: str) -> DataFrame:
     """Whether one of a search's five best hosts is a relevant domain or below one."""
-    place = urls.domain(F.col("url"))
-    best = ranking.rank(_candidates(spark, d), AS_OF, k=5)
-    return best.groupBy("query_id").agg(F.max(((place == "example.net") | place.endswith(".example.net")).cast("int")).alias("hit"))
+    relevant = spark.createDataFrame([(i, ["example.net"]) for i in range(len(SEARCHES))], "query_id int, domains array<string>")
+    return evaluation.relevance_hits(ranking.rank(_candidates(spark, d), AS_OF, k=5), relevant)
 
 
 @query("WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND event_type <> 'signup' GROUP BY 1) SELECT coalesce(a.event_type, b.event_type) AS metric, a.n AS old, b.n AS new, b.n - a.n AS delta FROM a FULL JOIN b ON a.event_type = b.event_type")
@@ -372,7 +412,8 @@ def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
     n = F.count(F.lit(1))
     old = e.filter(F.col("ts") < cut).groupBy("event_type").agg(n.alias("old"))
     new = e.filter((F.col("ts") >= cut) & (F.col("event_type") != "signup")).groupBy("event_type").agg(n.alias("new"))
-    return old.join(new, "event_type", "full").select(F.col("event_type").alias("metric"), "old", "new", (F.col("new") - F.col("old")).alias("delta"))
+    both = evaluation.compare(old.withColumnRenamed("old", "n"), new.withColumnRenamed("new", "n"), "event_type", "n")
+    return both.select(F.col("event_type").alias("metric"), "old", "new", "delta")
 
 
 _EDGES = "p AS (SELECT page_id, url, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, row_number() OVER (PARTITION BY regexp_extract(url, '^[^:]+://([^/?#]*)', 1) ORDER BY page_id) - 1 AS i FROM pages), edges AS (SELECT a.url AS src, b.url AS dst FROM p a JOIN p b ON a.host = b.host AND (b.i = 2 * a.i + 1 OR b.i = 2 * a.i + 2))"
@@ -408,9 +449,17 @@ def content_enrich(spark: SparkSession, d: str) -> DataFrame:
     return pages.join(cache, "page_id", "left").select("page_id", F.coalesce("kept", text.page_text(F.col("html"))).alias("content"), F.col("kept").isNotNull().alias("cached"))
 
 
-@query("SELECT event_id, length(event_type) BETWEEN 1 AND 500 AND event_id % 60 BETWEEN 1 AND 50 AS valid FROM events")
+_OUT = {"topK": ("event_id % 60", 1, 50), "crawlMaxDepth": ("event_id % 7", 1, 5), "crawlTimeoutMs": ("event_id * 13", 1000, 120000)}
+_FAILED = "list_filter([" + ", ".join(f"CASE WHEN NOT ({e} BETWEEN {a} AND {b}) THEN '{c}' END" for c, (e, a, b) in sorted([*_OUT.items(), ("lang", ("length(event_type)", 0, 10)), ("q", ("length(props)", 1, 500)), ("url", ("event_id % 3", 0, 0))])) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT event_id, array_to_string({_FAILED}, ',') AS failed, len({_FAILED}) = 0 AS valid FROM events")
 def request_validation(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", (F.length("event_type").between(1, 500) & (F.col("event_id") % 60).between(1, 50)).alias("valid"))
+    """Requests made of events, by the bounds of searches; every third has a web url."""
+    made = {c: F.expr(e) for c, (e, _, _) in _OUT.items()} | {"lang": F.col("event_type"), "q": F.col("props")}
+    web = F.rpad(F.concat(F.lit("https://a.net/"), F.col("event_id")), 20, "0")
+    rows = table(spark, d, "events").select("event_id", *[c.alias(name) for name, c in made.items()], F.when(F.col("event_id") % 3 == 0, web).otherwise("ftp://a.net").alias("url"))
+    return validate.validate(rows).select("event_id", F.array_join("failed", ",").alias("failed"), "valid")
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'fit' WHEN 1 THEN 'raw' WHEN 2 THEN 'plain' ELSE 'html' END || event_id AS content FROM events")
@@ -419,8 +468,7 @@ def payload_coalesce(spark: SparkSession, d: str) -> DataFrame:
     shapes = ['{"result":{"markdown":{"fit_markdown":"fit%d"},"text":"no"}}', '{"results":[{"markdown":{"fit_markdown":"","raw_markdown":"raw%d"}}]}', '{"data":{"content":" plain%d "}}', '{"cleaned_html":"html%d"}']
     n = F.col("event_id").cast("string")
     body = F.element_at(F.array(*[F.concat(F.lit(s.split("%d")[0]), n, F.lit(s.split("%d")[1])) for s in shapes]), (F.col("event_id") % 4 + 1).cast("int"))
-    places = [f"{root}.{leaf}" for root in ("$.result", "$.results[0]", "$.data", "$") for leaf in ("markdown.fit_markdown", "markdown.raw_markdown", "fit_markdown", "raw_markdown", "content", "text", "cleaned_html", "html")]
-    return table(spark, d, "events").select("event_id", F.coalesce(*[text.as_text(F.get_json_object(body, p)) for p in places]).alias("content"))
+    return table(spark, d, "events").select("event_id", payload.extract(body)["content"].alias("content"))
 
 
 @query("SELECT 'site' AS domain, page_id AS pos, url FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)")
@@ -431,24 +479,21 @@ def sitemap(spark: SparkSession, d: str) -> DataFrame:
     return sitemap_urls(xml).select(F.lit("site").alias("domain"), F.col("domain").alias("pos"), "url")
 
 
-@query("WITH m AS (SELECT ts AS t, 1 AS d FROM events UNION ALL SELECT ts + INTERVAL 1 HOUR, -1 FROM events), r AS (SELECT date_trunc('day', t) AS day, sum(d) OVER (PARTITION BY date_trunc('day', t) ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT CAST(day AS DATE) AS day, CAST(max(n) AS BIGINT) AS most FROM r GROUP BY 1")
+@query("WITH m AS (SELECT ts AS t, 1 AS d FROM events UNION ALL SELECT ts + INTERVAL 1 HOUR, -1 FROM events), r AS (SELECT date_trunc('day', t) AS day, sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM m) SELECT CAST(day AS DATE) AS day, CAST(max(n) AS BIGINT) AS most FROM r GROUP BY 1")
 def job_concurrency(spark: SparkSession, d: str) -> DataFrame:
-    """The most jobs of an hour each that run at once, counted anew each day."""
-    e = table(spark, d, "events").select("ts")
-    moves = e.select(F.col("ts").alias("at"), F.lit(1).alias("d")).union(e.select(F.expr("ts + INTERVAL 1 HOUR"), F.lit(-1)))
-    day = F.to_date("at")
-    running = F.sum("d").over(Window.partitionBy(day).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return moves.select(day.alias("day"), running.alias("n")).groupBy("day").agg(F.max("n").alias("most"))
+    """Of each day the most jobs, an hour long each, that run at once after a start or an end."""
+    jobs = table(spark, d, "events").select("ts", F.expr("ts + INTERVAL 1 HOUR").alias("end"))
+    return state.concurrency(jobs, "ts", "end").groupBy(F.to_date("at").alias("day")).agg(F.max("n").alias("most"))
 
 
 @query()
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.markdown("html").alias("markdown"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", html.markdown("html").alias("markdown"))
 
 
 @query()
 def main_content(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", html.main_content("html").alias("markdown"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", html.main_content("html").alias("markdown"))
 
 
 @query()
@@ -458,7 +503,7 @@ def fuzzy_title_dedup(spark: SparkSession, d: str) -> DataFrame:
     return ranking.merge_fuzzy(r.select("query_id", "rank", "url", "title", "snippet", "engines", "score")).withColumn("engines", F.array_join("engines", ","))
 
 
-@query()
+@query(r"SELECT regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS domain, url, NOT (length(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) % 2 = 0 AND regexp_matches(url, '^[^:]+://[^/?#]*/fr/')) AS allowed FROM pages")
 def robots_allow(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select(urls.part(F.col("url"), 2).alias("domain"), "url")
     robots = rows.select("domain").distinct().filter(F.length("domain") % 2 == 0).withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /fr/\n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from .shared import numbered, scratch
 
 RESULT = "title string, url string, content string, snippet string, engine string, engines array<string>, score double, publishedDate string, category string, rank int, query_id int, page int"
 
@@ -50,16 +51,31 @@ def sitemap_urls(xml: DataFrame) -> DataFrame:
     return xml.select("domain", F.explode(both).alias("s")).select("domain", "s.is_index", F.posexplode("s.locs").alias("pos", "url")).withColumn("url", F.trim("url"))
 
 
+def sitemap_lists(roots: DataFrame, sitemaps: DataFrame, depth: int = 3) -> DataFrame:
+    """(domain, url, pos) of all pages from root sitemaps (domain, root) through indexes to the depth given, each index once for a domain; sitemaps: (url, xml).
+
+    pos puts them in the order of depth, then of the path through the indexes.
+    """
+    found, seen = None, roots.select("domain", F.col("root").alias("url")).distinct()
+    frontier = seen.withColumn("pos", F.lit(""))
+    held = sitemaps.select(F.col("url").alias("domain"), "xml")
+    step = F.lpad(F.col("p").cast("string"), 7, "0")
+    for level in range(depth + 1):
+        at = frontier.select(F.col("domain").alias("of"), F.col("url").alias("domain"), F.col("pos").alias("before"))
+        listed = sitemap_urls(held.join(frontier.select(F.col("url").alias("domain")).distinct(), "domain", "left_semi")).withColumnRenamed("pos", "p")
+        got = scratch(listed.join(at, "domain").select(F.col("of").alias("domain"), "url", "is_index", F.concat("before", step).alias("pos")), "sitemaps")
+        pages = got.filter("NOT is_index").select("domain", "url", F.concat(F.lit(str(level)), "pos").alias("pos"))
+        found = pages if found is None else found.union(pages)
+        frontier = got.filter("is_index").groupBy("domain", "url").agg(F.min("pos").alias("pos")).join(seen, ["domain", "url"], "left_anti")
+        frontier = scratch(frontier, "indexes")
+        seen = seen.union(frontier.select("domain", "url"))
+        if frontier.isEmpty():
+            break
+    first = found.groupBy("domain", "url").agg(F.min("pos").alias("at"))
+    return numbered(first, ["domain"], ["at", "url"], "pos").select("domain", "url", "pos")
+
+
 def sitemap_tree(roots: DataFrame, xml: DataFrame, depth: int = 3) -> DataFrame:
     """(url) of all pages from root sitemaps (url) through indexes to the depth given; xml: (domain, xml), the domain being the sitemap's url."""
-    from .shared import scratch
-
-    found, frontier = None, roots.select("url").distinct()
-    seen = frontier
-    for _ in range(depth + 1):
-        got = scratch(sitemap_urls(xml.join(frontier, xml["domain"] == frontier["url"], "left_semi")), "sitemaps")
-        pages = got.filter("NOT is_index").select("url")
-        found = pages if found is None else found.union(pages)
-        frontier = got.filter("is_index").select("url").distinct().join(seen, "url", "left_anti")
-        seen = seen.union(frontier)
-    return found.distinct()
+    listed = sitemap_lists(roots.select(F.lit("").alias("domain"), F.col("url").alias("root")), xml.select(F.col("domain").alias("url"), "xml"), depth)
+    return listed.select("url").distinct()
