@@ -45,26 +45,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def unescape(c: Column) -> Column:
-    """Numeric entities, and the named ones of dims.NAMED_ENTITIES, as characters, once; an ampersand that comes out starts none."""
+def _numeric(c: Column) -> Column:
+    """Numeric entities as characters; an ampersand as its own entity."""
     number = lambda e: F.when(F.lower(e).startswith("&#x"), F.conv(F.regexp_extract(e, "([0-9A-Fa-f]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(e, "([0-9]+);?$", 1)).cast("long")
     valid = lambda n: n.isNotNull() & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     char = lambda n: F.when(n == 38, F.lit("&amp;")).otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
     entities = F.array_distinct(F.regexp_extract_all(c, F.lit("(&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?)"), F.lit(1)))
     entities = F.array_sort(entities, lambda a, b: F.length(b) - F.length(a))  # with the semicolon before without
-    out = F.when(F.contains(c, F.lit("&#")), F.aggregate(entities, c, lambda s, e: F.when(valid(number(e)), F.replace(s, e, char(number(e)))).otherwise(s))).otherwise(c)
-    for entity, plain in NAMED_ENTITIES.items():
-        if entity != "amp":
-            out = F.replace(out, F.lit(f"&{entity};"), F.lit(plain))
-    return F.when(F.contains(c, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(c)
+    return F.when(F.contains(c, F.lit("&#")), F.aggregate(entities, c, lambda s, e: let(number(e), lambda n: F.when(valid(n), F.replace(s, e, char(n))).otherwise(s)))).otherwise(c)
+
+
+def unescape(c: Column) -> Column:
+    """Numeric entities, and the named ones of dims.NAMED_ENTITIES, as characters, once; an ampersand that comes out starts none."""
+    names = F.array(*[F.struct(F.lit(f"&{e};").alias("e"), F.lit(x).alias("x")) for e, x in NAMED_ENTITIES.items() if e != "amp"])
+    named = lambda c: F.replace(F.aggregate(names, c, lambda s, n: F.replace(s, n["e"], n["x"])), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(c, F.lit("&")), named(_numeric(c))).otherwise(c)
 
 
 def mask_injection(c: Column) -> Column:
     """Mask known phrasings. Invisible characters are taken out, for good, only where they hid one."""
+    any_ = "(?iuU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)
+    masked = lambda plain: reduce(lambda x, p: F.regexp_replace(x, f"(?iuU){p}", "[FILTERED]"), INJECTION_PATTERNS, plain)
     plain = F.regexp_replace(F.regexp_replace(c, r"[\p{Mn}\p{Me}\p{Cf}]", ""), r"(?U)\s+", " ")
-    found = plain.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS))
-    masked = reduce(lambda x, p: F.regexp_replace(x, f"(?iuU){p}", "[FILTERED]"), INJECTION_PATTERNS, plain)
-    return F.when(found, masked).otherwise(c)
+    return let(plain, lambda p: F.when(p.rlike(any_), masked(p)).otherwise(c))
 
 
 def strip_tags(c: Column) -> Column:
@@ -105,8 +108,10 @@ def truncate(c: Column, most: int) -> Column:
 
 
 def sanitize(c: Column, most: int | None = None) -> Column:
-    out = squeeze(drop_ads(strip_tags(mask_injection(unescape(c)))))
-    return truncate(out, most) if most else out
+    """Safe text for an answer: entities as characters, injections masked, no tags, no advertisements, single blanks, at most `most` characters. Each step is worked out once."""
+    out = let(unescape(c), lambda x: mask_injection(x))
+    out = squeeze(let(strip_tags(out), lambda x: drop_ads(x)))
+    return let(out, lambda x: truncate(x, most)) if most else out
 
 
 def page_title(html: Column) -> Column:

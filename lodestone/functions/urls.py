@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dims import BLOCKED_NETWORKS, BLOCKED_NETWORKS_6, SKIP_DOMAINS, TRACKING_PARAMS
+from .text import let
 
 PARTS = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -78,14 +79,16 @@ def host(url: Column) -> Column:
 
 def ipv6(name: Column) -> Column:
     """The eight groups of a literal address, as 32 hex digits; null for other hosts. A dotted end counts as two groups."""
-    octets = F.split(F.regexp_extract(name, r"((?:\d{1,3}\.){3}\d{1,3})$", 1), r"\.")
-    pair = lambda a, b: F.lower(F.hex(F.try_element_at(octets, F.lit(a)).cast("long") * 256 + F.try_element_at(octets, F.lit(b)).cast("long")))
-    name = F.when(name.rlike(r":(?:\d{1,3}\.){3}\d{1,3}$"), F.concat(F.regexp_replace(name, r"(?:\d{1,3}\.){3}\d{1,3}$", ""), pair(1, 2), F.lit(":"), pair(3, 4))).otherwise(name)
-    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    left, right = groups(F.substring_index(name, "::", 1)), groups(F.when(F.contains(name, F.lit("::")), F.substring_index(name, "::", -1)).otherwise(F.lit("")))
-    filled = F.when(F.contains(name, F.lit("::")), F.concat(left, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right))), right)).otherwise(left)
-    digits = F.array_join(F.transform(filled, lambda g: F.lpad(F.lower(g), 4, "0")), "")
-    return F.when(name.rlike("^[0-9a-fA-F:]*:[0-9a-fA-F:]*$") & ~name.rlike("::.*::|[0-9a-fA-F]{5}|:::") & (F.length(digits) == 32), digits)
+    dotted = r"(?:\d{1,3}\.){3}\d{1,3}$"
+    pair = lambda o, a, b: F.lower(F.hex(F.try_element_at(o, F.lit(a)).cast("long") * 256 + F.try_element_at(o, F.lit(b)).cast("long")))
+    plain = lambda n: let(F.split(F.regexp_extract(n, f"({dotted})", 1), r"\."), lambda o: F.concat(F.regexp_replace(n, dotted, ""), pair(o, 1, 2), F.lit(":"), pair(o, 3, 4)))
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    short = lambda n: let(F.struct(groups(F.substring_index(n, "::", 1)).alias("l"), groups(F.substring_index(n, "::", -1)).alias("r")), lambda p: F.concat(p["l"], F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(p["l"]) - F.size(p["r"]))), p["r"]))
+    filled = lambda n: F.when(F.contains(n, F.lit("::")), short(n)).otherwise(groups(n))
+    digits = lambda n: F.array_join(F.transform(filled(n), lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    good = lambda n: n.rlike("^[0-9a-fA-F:]*:[0-9a-fA-F:]*$") & ~n.rlike("::.*::|[0-9a-fA-F]{5}|:::")
+    whole = lambda n: F.when(good(n), let(digits(n), lambda d: F.when(F.length(d) == 32, d)))
+    return F.when(F.contains(name, F.lit(":")), let(F.when(name.rlike(f":{dotted}"), plain(name)).otherwise(name), whole))
 
 
 def blocked6(digits: Column) -> Column:
@@ -100,14 +103,14 @@ def blocked6(digits: Column) -> Column:
 
 def blocked_address(address: Column) -> Column:
     """Whether a literal address lies in a blocked network; null for what is no address."""
-    return F.coalesce(blocked(ipv4(address)), blocked6(ipv6(F.lower(address))))
+    return F.coalesce(let(ipv4(address), lambda a: F.when(a.isNotNull(), blocked(a))), let(ipv6(F.lower(address)), lambda a: F.when(a.isNotNull(), blocked6(a))))
 
 
 def safe_literal(url: Column) -> Column:
     """http or https, a host that is not local, and a literal address outside the blocked networks; null for names, for which the dns table is asked."""
-    name = host(url)
-    bad = ~F.lower(part(url, 1)).isin("http", "https") | (name == "") | name.isin("localhost", "0.0.0.0", "::", "::1")
-    return F.when(bad, F.lit(False)).otherwise(~blocked_address(name))
+    good = F.lower(part(url, 1)).isin("http", "https")
+    judged = lambda name: F.when((name == "") | name.isin("localhost", "0.0.0.0", "::", "::1"), F.lit(False)).otherwise(~blocked_address(name))
+    return F.when(~good, F.lit(False)).otherwise(let(host(url), judged))
 
 
 def skipped(url: Column) -> Column:
