@@ -76,7 +76,8 @@ def strip_tags(c: Column) -> Column:
 
 def holds_any(c: Column, stems: list[str]) -> Column:
     """Whether the lower-cased text holds one of the strings; far cheaper than a pattern that ignores case."""
-    return let(F.lower(c), lambda low: reduce(lambda x, y: x | y, [F.contains(low, F.lit(w)) for w in stems]))
+    words = F.array(*[F.lit(w) for w in stems])
+    return let(F.lower(c), lambda low: F.exists(words, lambda w: F.contains(low, w)))
 
 
 def drop_ads(c: Column, patterns: list[str] = AD_PATTERNS, stems: list[str] | None = None) -> Column:
