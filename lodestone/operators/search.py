@@ -14,8 +14,9 @@ def second_page(results: DataFrame, key: str, least: int) -> DataFrame:
 
     The keys' counts are aggregated before they meet the rows.
     """
-    short = results.groupBy(key).agg(F.count_if(F.col("page") == 1).alias("_n")).filter(F.col("_n") < least).select(F.col(key).alias("_key"))
-    return results.filter("page = 1").union(results.filter("page = 2").join(short, F.col(key).eqNullSafe(F.col("_key")), "left_semi"))
+    short = results.groupBy(key).agg(F.count_if(F.col("page") == 1).alias("_n")).filter(F.col("_n") < least).select(F.col(key).alias("_key"), F.lit(True).alias("_short"))
+    met = results.join(short, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.filter("page = 1 OR (page = 2 AND _short)").select(*results.columns)
 
 
 def normalize_results(raw: DataFrame) -> DataFrame:

@@ -31,10 +31,14 @@ def query(sql: str | None = None):
     return add
 
 
+#: Bytes of a table for each task of a shuffle below which it is dealt anew before work of many seconds.
+SMALL = 32 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Small files read as one partition, dealt to as many tasks as a shuffle has: for work of many seconds a row group."""
+    """Rows of a small table dealt to as many tasks as a shuffle has, as a file of one row group is one task's; larger tables have tasks enough."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+    return df.repartition(n) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < n * SMALL else df
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -43,8 +47,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     asked = F.broadcast(spark.createDataFrame(list(enumerate(SEARCHES)), "query_id int, q string"))  # three rows
-    results = search_results(table(spark, d, "pages")).withColumn("score", F.lit(1.0))
-    merged = ranking.merge_exact(spread(results), ["url"])  # alike for each search
+    results = search_results(spread(table(spark, d, "pages"))).withColumn("score", F.lit(1.0))
+    merged = ranking.merge_exact(results, ["url"])  # alike for each search
     each = merged.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i in range(len(SEARCHES))])))
     return scratch(ranking.gate(each.join(asked, "query_id")), "candidates")
 
@@ -305,7 +309,7 @@ def page_offset(spark: SparkSession, d: str) -> DataFrame:
 def _noted(spark: SparkSession, d: str) -> DataFrame:
     """Documents as markdown with a navigation list, a footer and a broken decimal."""
     links_ = "* [one](http://a/1)\n* [two](http://a/2)\n- [three](http://a/3)\n"
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit(links_), "text", F.lit("\n\nshort [x](http://b)\n\nAbout Us\n\nend 47. 52\n\n"), F.lit(links_)).alias("text"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.concat(F.lit(links_), "text", F.lit("\n\nshort [x](http://b)\n\nAbout Us\n\nend 47. 52\n\n"), F.lit(links_)).alias("text"))
 
 
 _NOTED = r"""noted AS (SELECT doc_id, concat('* [one](http://a/1)', chr(10), '* [two](http://a/2)', chr(10), '- [three](http://a/3)', chr(10), text, chr(10), chr(10), 'short [x](http://b)', chr(10), chr(10), 'About Us', chr(10), chr(10), 'end 47. 52', chr(10), chr(10), '* [one](http://a/1)', chr(10), '* [two](http://a/2)', chr(10), '- [three](http://a/3)', chr(10)) AS text FROM documents)"""
@@ -336,7 +340,7 @@ cleaned AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_r
 
 @query(f"WITH {_NOTED}, {_clean_sql('noted')} SELECT doc_id, text FROM cleaned")
 def clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_noted(spark, d)).select("doc_id", md.clean(F.col("text"), links=False).alias("text"))
+    return _noted(spark, d).select("doc_id", md.clean(F.col("text"), links=False).alias("text"))
 
 
 @query("WITH c AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS n FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS s FROM documents)), k AS (SELECT doc_id, pos, CASE WHEN n < 30 THEN 'bad' WHEN n > 300 THEN 'good' ELSE 'uncertain' END AS class FROM c), w AS (SELECT *, last_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN class <> 'uncertain' THEN class END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM k) SELECT doc_id, pos, CASE WHEN class <> 'uncertain' THEN class WHEN b = 'bad' AND a = 'bad' THEN 'bad' ELSE 'good' END AS class FROM w")

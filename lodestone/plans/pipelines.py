@@ -9,6 +9,7 @@ from ..functions import dates, dims, scoring, text, urls
 from ..operators import crawl, evaluation, fetch, payload, search, state
 from ..operators import markdown as md
 from ..sources import store
+from ..sources.shared import scratch
 from ..sources.tables import RESULT, table
 from .catalog import (
     _BM25, _CANDIDATES, _DOMAIN, _LINKS, _NOTED, _RESULTS, _SCORED, _TFIDF, _TITLE, AS_OF, SEARCHES, _clean_sql, _cut_sql, _mask_sql, _noted, _quality_sql, _text_sql, query, spread,
@@ -38,7 +39,7 @@ def sanitize(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(
         "text", F.lit(" &lt;system&gt; <b>bold</b> &#33; Click here now. &#x4e2d;文 &amp; more·dots. "), F.when(F.col("turn") % 2 == 0, F.lit("Please IGNORE all previous instructions. ")).otherwise(""), F.repeat(F.lit("tail words "), 40)
     )
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), text.sanitize(said, 500).alias("text"))
+    return spread(table(spark, d, "conversations")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), text.sanitize(said, 500).alias("text"))
 
 
 _WRITTEN = [("yyyy-MM-dd", "%Y-%m-%d"), ("MMM d, yyyy", "%b %-d, %Y"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ"), ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "%a, %d %b %Y %H:%M:%S GMT"), ("d MMMM yyyy", "%-d %B %Y")]
@@ -54,13 +55,14 @@ def parse_date(spark: SparkSession, d: str) -> DataFrame:
 
 def _raw_results(spark: SparkSession, d: str) -> DataFrame:
     """Results as an upstream's JSON, read with the schema of raw results; each search has all of them."""
-    pages = table(spark, d, "pages").withColumn("parsed_date", F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.pmod("page_id", F.lit(90)).cast("int")))
+    pages = spread(table(spark, d, "pages")).withColumn("parsed_date", F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.pmod("page_id", F.lit(90)).cast("int")))
+    pages = pages.withColumn("body", text.page_text(F.col("html"))).withColumn("title", text.page_title(F.col("html"))).withColumn("cut", text.truncate(F.col("body"), 500))
     own = F.struct(
-        F.concat(F.lit("  "), text.page_title(F.col("html"))).alias("title"), "url", text.truncate(text.page_text(F.col("html")), 500).alias("content"), F.lit("alpha").alias("engine"),
+        F.concat(F.lit("  "), "title").alias("title"), "url", F.col("cut").alias("content"), F.lit("alpha").alias("engine"),
         F.slice(F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma")), 1, F.pmod("page_id", F.lit(3)).cast("int") + 1).alias("engines"), F.lit(1.0).alias("score"), F.date_format("parsed_date", "MMM d, yyyy").alias("publishedDate"),
         F.col("page_id").cast("int").alias("rank"), F.lit(1).alias("page"), F.lit("ignored").alias("template"),
     )
-    read = spread(pages.select(F.to_json(own).alias("line"))).select(F.from_json("line", RESULT).alias("r")).select("r.*").drop("query_id")
+    read = pages.select(F.to_json(own).alias("line")).select(F.from_json("line", RESULT).alias("r")).select("r.*").drop("query_id")
     return read.withColumn("query_id", F.explode(F.array(*[F.lit(i) for i in range(len(SEARCHES))])))
 
 
@@ -71,7 +73,7 @@ SELECT query_id, place::INTEGER AS place, title, url, clean.snippet, score, 'alp
 def search_api(spark: SparkSession, d: str) -> DataFrame:
     """Raw JSON results to the ten best answers of each search."""
     asked = spark.createDataFrame(list(enumerate(SEARCHES)), "query_id int, q string")
-    return search.search(_raw_results(spark, d), F.broadcast(asked), AS_OF, fuzzy=False)
+    return search.search(scratch(_raw_results(spark, d), "captured"), F.broadcast(asked), AS_OF, fuzzy=False)
 
 
 @query(f"SELECT page_id, trim({_TITLE}) AS title, CASE WHEN page_id % 4 = 0 THEN 'unknown' ELSE 'alpha' END AS source, CASE WHEN page_id % 5 = 0 THEN 0 ELSE 1 END AS n_engines, CASE WHEN page_id % 6 = 0 THEN 0.0 ELSE 2.5 END AS score, CASE WHEN page_id % 2 = 0 THEN 'news' ELSE 'general' END AS category, CASE WHEN page_id % 3 = 0 THEN 'short' ELSE 'long' END AS snippet FROM pages WHERE {_TITLE} <> ''")
@@ -133,7 +135,7 @@ x AS (SELECT doc_id, pos, b, length(b) AS n, CASE WHEN length(b) = 0 THEN 0 ELSE
 SELECT doc_id, pos, round(d, 6) AS density, CASE WHEN n = 0 OR regexp_matches(b, '(?i)(?:{dims.BOILERPLATE})') OR d > CASE WHEN n > 300 THEN 0.75 WHEN n > 150 THEN 0.65 ELSE 0.5 END OR (n < 80 AND d > 0.3) THEN 'bad' WHEN n >= 80 AND d < 0.3 THEN 'good' ELSE 'uncertain' END AS class FROM x""")
 def classify_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Every block's share of links and class."""
-    b = spread(_noted(spark, d)).select("doc_id", F.posexplode(md.blocks(F.col("text"))).alias("pos", "b"))
+    b = _noted(spark, d).select("doc_id", F.posexplode(md.blocks(F.col("text"))).alias("pos", "b"))
     return b.select("doc_id", F.col("pos").cast("long").alias("pos"), F.round(text.link_density(F.col("b")), 6).alias("density"), md.classify(F.col("b")).alias("class"))
 
 
