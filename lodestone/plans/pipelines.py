@@ -300,3 +300,30 @@ def retrieval_rate(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.rate(table(spark, d, "documents").select("lang", "n_chars"), "lang", F.col("n_chars") > 1000)
 
 
+
+
+@query(f"SELECT page_id, CASE WHEN length({_text_sql('html')}) > 100 THEN {_text_sql('html')} END AS text FROM pages")
+def plain_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """The plain text of pages that have over 100 characters of it."""
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", text.plain_fallback(F.col("html")).alias("text"))
+
+
+@query(f"WITH {_LINKS} SELECT page_id, pos, url FROM links WHERE regexp_extract(url, '^[^:]+://([^/?#]*)', 1) = host")
+def same_domain_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links that stay on their page's host."""
+    found = crawl.links(table(spark, d, "pages")).withColumn("domain", urls.part(F.col("src"), 2))
+    return crawl.same_domain(found).select("page_id", F.col("pos").cast("long").alias("pos"), "url")
+
+
+@query("SELECT user_id, max(ts) AS stored_at FROM events WHERE ts <= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-19' GROUP BY 1")
+def robots_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that a day's cache still holds, by the time they were stored last."""
+    kept = table(spark, d, "events").select("user_id", F.col("ts").alias("stored_at"))
+    return store.fresh(kept, 86400, F.lit("2024-01-20").cast("timestamp")).groupBy("user_id").agg(F.max("stored_at").alias("stored_at"))
+
+
+@query(f"SELECT page_id, {_TITLE} AS title, length({_TITLE}) > 0 AS kept FROM pages")
+def title_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Titles, and which rows the filter on results keeps."""
+    title = text.page_title(F.col("html"))
+    return table(spark, d, "pages").select("page_id", title.alias("title"), F.coalesce(text.as_text(title).isNotNull(), F.lit(False)).alias("kept"))
