@@ -261,7 +261,7 @@ def wav_data(b: bytes) -> bytes:
 
 
 def as_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (each whole text padded with zeros to a multiple of 64, as WAV) and the declared type, which says nothing."""
+    """doc_id, n_bytes, media (each whole text padded with zeros to a multiple of 64, as WAV) and the declared type, which is right for an even number of bytes and says nothing else."""
 
     def run(batches):
         for batch in batches:
@@ -271,7 +271,7 @@ def as_media(docs: DataFrame) -> DataFrame:
                 raw = [x.as_buffer().to_pybytes() for x in texts[i : i + step]]
                 media = [to_wav(x + bytes(-len(x) % 64 or (0 if x else 64))) for x in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i : i + step], pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array([UNKNOWN] * len(raw), pa.string())],
+                    [ids[i : i + step], pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary()), pa.array([UNKNOWN if len(x) % 2 else "audio/wav" for x in raw], pa.string())],
                     names=["doc_id", "n_bytes", "media", "declared_type"],
                 )
 

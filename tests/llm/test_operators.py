@@ -338,6 +338,7 @@ def test_media(spark, docs, rows, empty):
 
     got = out.select("doc_id", "n_bytes", "measured.*")
     assert by_row(got, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(((d, *brute(t)) for d, t, _, _ in rows), key=repr)
+    assert all(f"declared_wrong={r['n_bytes'] % 2};" in r["feature"] for r in got.collect())
     assert all(r["media_bytes"] == r["payload_bytes"] + 44 for r in got.collect()) and media.sniff(media.as_media(empty)).count() == 0
 
 
