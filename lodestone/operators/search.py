@@ -46,12 +46,20 @@ def search(raw: DataFrame, asked: DataFrame, as_of: str, k: int = 10, lang: str
     return ranked.select("query_id", "place", "title", F.coalesce("original_url", "url").alias("url"), snippet.alias("snippet"), "score", "source", F.lit(False).alias("content_partial"))
 
 
-def enrich(results: DataFrame, crawled: DataFrame, fetched: DataFrame) -> DataFrame:
-    """The results with content and content_partial: of the crawl (url, content, partial), else of the fetch, else none."""
+def enrich(results: DataFrame, crawled: DataFrame, fetched: DataFrame, on: tuple[str, ...] = ("url",)) -> DataFrame:
+    """The results with content and content_partial: of the crawl (url, content, partial), else of the fetch, else none.
+
+    on: the columns by which captures belong to results. Each result stays one row: of several captures the best
+    counts, which has content, is not partial, and stands first in order of content.
+    """
     empty = F.lit("")
-    one = crawled.select("url", F.nullif("content", empty).alias("_crawl"), F.col("partial").alias("_crawl_partial"))
-    two = fetched.select("url", F.nullif("content", empty).alias("_fetch"), F.col("partial").alias("_fetch_partial"))
-    out = results.drop("content", "content_partial").join(one, "url", "left").join(two, "url", "left")
+
+    def best(captured: DataFrame, name: str) -> DataFrame:
+        content = F.nullif("content", empty)
+        one = captured.groupBy(*on).agg(F.min(F.struct(content.isNull().alias("none"), "partial", content.alias("content"))).alias("_best"))
+        return one.select(*on, F.col("_best.content").alias(name), F.col("_best.partial").alias(f"{name}_partial"))
+
+    out = results.drop("content", "content_partial").join(best(crawled, "_crawl"), list(on), "left").join(best(fetched, "_fetch"), list(on), "left")
     partial = F.when(F.col("_crawl").isNotNull(), F.col("_crawl_partial")).otherwise(F.coalesce("_fetch_partial", F.lit(True)))
     return out.withColumn("content", F.coalesce("_crawl", "_fetch")).withColumn("content_partial", partial).drop("_crawl", "_crawl_partial", "_fetch", "_fetch_partial")
 

@@ -282,15 +282,15 @@ def robots_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RESULTS}, d AS (SELECT rank, {_DOMAIN.format(u='url')} AS domain FROM r), f AS (SELECT rank, domain, row_number() OVER (PARTITION BY domain ORDER BY rank) = 1 AS first FROM d), m AS (SELECT domain, count(*) AS n FROM d GROUP BY 1) SELECT rank, CASE WHEN first THEN n END AS n_related, CASE rank % 3 WHEN 0 THEN 'crawled' WHEN 1 THEN 'fetched' END AS content, CASE rank % 3 WHEN 0 THEN false WHEN 1 THEN true ELSE true END AS content_partial FROM f JOIN m USING (domain)")
 def enrich_results(spark: SparkSession, d: str) -> DataFrame:
-    """Results with crawled, else fetched content, and their domain's urls at its first result."""
+    """Results with crawled, else fetched content, each by captures of its own (pages may share a url), and their domain's urls at its first result."""
     from ..sources.tables import search_results
 
-    r = search_results(table(spark, d, "pages")).select("rank", F.col("original_url").alias("url"))
+    r = search_results(table(spark, d, "pages")).select("rank", "url")
     k = F.col("rank")
-    crawled = r.select("url", F.when(k % 3 == 0, "crawled").otherwise("").alias("content"), F.lit(False).alias("partial")).distinct()
-    fetched = r.select("url", F.when(k % 3 < 2, "fetched").alias("content"), F.lit(True).alias("partial")).distinct()
+    crawled = r.select("rank", "url", F.when(k % 3 == 0, "crawled").otherwise("").alias("content"), F.lit(False).alias("partial"))
+    fetched = r.select("rank", "url", F.when(k % 3 < 2, "fetched").alias("content"), F.lit(True).alias("partial"))
     mapped = r.select(urls.domain(F.col("url")).alias("domain"), k.alias("pos"), "url")
-    out = search.related(search.enrich(r, crawled, fetched), mapped, ["rank"])
+    out = search.related(search.enrich(r, crawled, fetched, ("rank", "url")), mapped, ["rank"])
     return out.select("rank", F.size("relatedUrls").cast("long").alias("n_related"), "content", "content_partial").withColumn("n_related", F.when(F.col("n_related") >= 0, F.col("n_related")))
 
 

@@ -334,3 +334,31 @@ def test_empty_tables(spark, name):
     else:
         none = spark.createDataFrame([], "domain string, url string, pos long")
         assert crawl.url_map(none, none).count() == 0
+
+
+def _against_sql(spark, tmp_path, name, pages):
+    """The rows of a query over a table of pages, and those of its SQL."""
+    import duckdb
+
+    from lodestone.plans import catalog, pipelines  # noqa: F401
+
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    out = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in out.description]
+    return sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).select(*names).collect()), key=repr), sorted(out.fetchall(), key=repr)
+
+
+def test_pages_that_share_a_url_are_enriched_once_each(spark, tmp_path):
+    pages = [(i, ["http://a.net/x", "http://a.net/x", "http://www.a.net./y", "http://b.net/"][i // 3 % 4], "<title>t</title>") for i in range(24)]
+    got, want = _against_sql(spark, tmp_path, "enrich_results", pages)
+    assert got == want and len(got) == 24
+
+
+def test_enrich_takes_the_best_of_several_captures(spark):
+    results = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "rank int, url string")
+    crawled = spark.createDataFrame([("a", "", False), ("a", "part", True), ("a", "whole", False), ("b", "", False)], "url string, content string, partial boolean")
+    fetched = spark.createDataFrame([("b", None, False), ("b", "got", True), ("a", "other", True)], "url string, content string, partial boolean")
+    out = search.enrich(results, crawled, fetched).select("rank", "content", "content_partial").orderBy("rank").collect()
+    assert [tuple(r) for r in out] == [(1, "whole", False), (2, "whole", False), (3, "got", True), (4, None, True)]
