@@ -194,14 +194,24 @@ def url_safety_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT domain, url, row_number() OVER (PARTITION BY domain ORDER BY k) - 1 AS pos FROM (SELECT 's' || page_id % 5 || '.net' AS domain, 'http://s' || page_id % 5 || '.net/p/' || page_id AS url, page_id // 5 % 3 AS level, page_id, (CASE WHEN page_id // 5 % 3 = 0 THEN 0 ELSE page_id // 5 % 3 END) * 100000 + page_id AS k FROM pages)""")
 def sitemap_recursion(spark: SparkSession, d: str) -> DataFrame:
-    """Five sites whose sitemaps lead through indexes of indexes (one of them to itself) to all pages."""
-    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("s"), F.col("page_id") % 5, F.lit(".net")).alias("domain"), (F.floor(F.col("page_id") / 5) % 3).alias("level"))
-    loc = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "domain"))), lambda x: F.concat(F.lit(f"<{kind}><loc>http://"), x["domain"], F.lit("/p/"), x["page_id"], F.lit(f"</loc></{kind}>"))), "")
-    leaves = p.groupBy("domain", "level").agg(loc("url").alias("locs"))
-    name = lambda level: F.concat(F.lit("http://"), "domain", F.when(level == 0, F.lit("/sitemap.xml")).otherwise(F.concat(F.lit("/map"), level, F.lit(".xml"))))
-    # The root holds its own pages and an index to the next level, which holds the same; each is one document with both.
-    deeper = F.when(F.col("level") < 2, F.concat(F.lit("<sitemap><loc>"), name(F.col("level") + 1), F.lit("</loc></sitemap>"))).otherwise(F.concat(F.lit("<sitemap><loc>"), name(F.lit(0)), F.lit("</loc></sitemap>")))
-    maps = leaves.select(name(F.col("level")).alias("url"), F.concat(F.lit("<set>"), "locs", deeper, F.lit("</set>")).alias("xml"))
+    """Five sites whose sitemaps lead through indexes of indexes (some of them back to the root) to all pages.
+
+    The SQL's order is by k = level * 100000 + page_id, so each document holds the pages of one block of 100,000 values of k:
+    the root block 0, its index the next, and that one's index all others in order. Pages of equal k, which the SQL leaves
+    open (from 100,000 pages on), stand by page_id.
+    """
+    i = F.col("page_id")
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("s"), i % 5, F.lit(".net")).alias("domain"), (F.floor(i / 5) % 3 * 100_000 + i).alias("k")).withColumn("block", F.floor(F.col("k") / 100_000))
+    loc = lambda kind, url: F.concat(F.lit(f"<{kind}><loc>"), url, F.lit(f"</loc></{kind}>"))
+    name = lambda block: F.concat(F.lit("http://"), "domain", F.when(block == 0, F.lit("/sitemap.xml")).otherwise(F.concat(F.lit("/map"), block, F.lit(".xml"))))
+    page = F.transform(F.array_sort(F.collect_list(F.struct("k", "page_id", "domain"))), lambda x: loc("url", F.concat(F.lit("http://"), x["domain"], F.lit("/p/"), x["page_id"])))
+    leaves = p.groupBy("domain", "block").agg(F.array_join(page, "").alias("locs"))
+    # The first two documents of a site are there even without pages of their own, as they lead to the others.
+    blocks = leaves.groupBy("domain").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    held = blocks.withColumn("block", F.explode(F.array_union(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), "blocks"))).join(leaves, ["domain", "block"], "left")
+    others = F.array_join(F.transform(F.filter("blocks", lambda x: x > 1), lambda x: loc("sitemap", name(x))), "")
+    deeper = F.when(F.col("block") == 0, loc("sitemap", name(F.lit(1)))).when(F.col("block") == 1, others).otherwise(loc("sitemap", name(F.lit(0))))
+    maps = held.select(name(F.col("block")).alias("url"), F.concat(F.lit("<set>"), F.coalesce("locs", F.lit("")), deeper, F.lit("</set>")).alias("xml"))
     from ..sources.tables import sitemap_lists
 
     roots = p.select("domain", name(F.lit(0)).alias("root")).distinct()

@@ -362,3 +362,15 @@ def test_enrich_takes_the_best_of_several_captures(spark):
     fetched = spark.createDataFrame([("b", None, False), ("b", "got", True), ("a", "other", True)], "url string, content string, partial boolean")
     out = search.enrich(results, crawled, fetched).select("rank", "content", "content_partial").orderBy("rank").collect()
     assert [tuple(r) for r in out] == [(1, "whole", False), (2, "whole", False), (3, "got", True), (4, None, True)]
+
+
+@pytest.mark.parametrize("numbers", [[7, 12, 99_999, 100_004, 100_005, 100_010, 200_001, 200_011, 299_998, 350_000, 712_345, 1_000_005], [0, 10, 25, 100_000]])
+def test_sitemaps_of_many_pages_keep_the_order_of_the_sql(spark, tmp_path, numbers):
+    """Numbers beyond 100,000, none of equal keys; sites without pages in the root or in the first index lose none."""
+    got, want = _against_sql(spark, tmp_path, "sitemap_recursion", [(i, "", "") for i in numbers])
+    assert got == want and len(got) == len(numbers)
+
+
+def test_sitemap_pages_of_equal_keys_stand_by_number(spark, tmp_path):
+    got, _ = _against_sql(spark, tmp_path, "sitemap_recursion", [(i, "", "") for i in (5, 20, 100_005, 100_020)])
+    assert [u.rsplit("/", 1)[1] for _, u, _ in sorted(got, key=lambda r: r[2])] == ["5", "100005", "20", "100020"]
