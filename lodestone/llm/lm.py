@@ -8,9 +8,10 @@ there (half of one more for each).
 
 Training covers all documents that are not held out. Ids are counted, then pairs of neighbouring ids; the direct
 connections are the logarithms of the pairs' smoothed rates, so that attention learns what is left over. Attention
-learns by gradient: the driver fits a first model on about SEED_WINDOWS windows drawn from all of them, then every
-task trains a copy of it on one window in DRAW of each of its documents (one at least), and the copies' mean weighted
-by ids is the model. Texts are encoded once; counting, training and scoring read their ids.
+learns by gradient: the driver fits a first model on about SEED_WINDOWS windows drawn from all of them, as a start, then
+every task trains a copy of it on every window of its documents, and the copies' mean weighted by ids is the model. A
+caller of train() alone may have one window in DRAW of each document (one at least); score() never does. Texts are
+encoded once; counting, training and scoring read their ids.
 
 Base: counts of all words of all training documents. A task joins about BATCH_BYTES of text into a batch, asks for
 each distinct word once (by hash, dealt to partitions by hash), and the answers meet the batch's documents again.
@@ -354,8 +355,12 @@ def _vector(v: np.ndarray, blocks: int) -> pa.RecordBatch:
 _VECTOR = "block int, salt int, v binary"
 
 
-def train(spark: SparkSession, encoded: DataFrame, n_ids: int) -> Attention:
-    """The model of the documents that are not held out; encoded: batch, ids, sizes and held of all documents, by batches."""
+def train(spark: SparkSession, encoded: DataFrame, n_ids: int, draw: int | None = None) -> Attention:
+    """The model of the documents that are not held out; encoded: batch, ids, sizes and held of all documents, by batches.
+
+    draw: the copies learn from one window in so many, 1 is all of them; unset, DRAW.
+    """
+    draw = DRAW if draw is None else draw
 
     def tally(batches):
         total = np.zeros(n_ids, np.int64)
@@ -411,7 +416,7 @@ def train(spark: SparkSession, encoded: DataFrame, n_ids: int) -> Attention:
     def replica(batches):
         own, used, kept = copy.deepcopy(first.value), 0, {}  # a worker keeps the broadcast for its next task
         for number, ids, sizes in _learned(batches):
-            used += own.train(*own.windows(ids, sizes, _drawn(number, DRAW)), 0.001, kept)
+            used += own.train(*own.windows(ids, sizes, _drawn(number, draw) if draw > 1 else None), 0.001, kept)
         if used:
             yield _vector(np.r_[own.flat() * used, float(used)], 8)
 
@@ -543,7 +548,7 @@ def score(spark: SparkSession, docs: DataFrame, path: str, parts: int | None = N
     if parts is None:
         parts = max(partitions(spark), (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
     rows, encoded = encode(docs, path, parts)
-    model = spark.sparkContext.broadcast(train(spark, encoded, encoder(path).n_ids) if attention else None)
+    model = spark.sparkContext.broadcast(train(spark, encoded, encoder(path).n_ids, draw=1) if attention else None)
 
     def scores(batches):
         for batch in batches:

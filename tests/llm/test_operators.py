@@ -599,6 +599,15 @@ def test_model_learns_from_all_training_documents(spark, docs, rows, monkeypatch
     assert lm.train(spark, encoded, n_ids).learned == sum(sizes)
 
 
+def test_scores_come_from_a_model_of_every_window(spark, docs, rows, monkeypatch):
+    models, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    assert lm.score(spark, docs, _bpe()).count() == len(rows)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+    sizes = [len(x) + 1 for x in encode.encoder(_bpe()).encode([t or "" for d, t, _, _ in rows if not held(d)])]
+    assert [m.learned for m in models] == [sum(sizes)] == [m.paired for m in models]
+
+
 def test_vocabulary_is_that_of_all_training_documents(spark):
     held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     minor = next(i for i in range(50, 99) if not held(i))
