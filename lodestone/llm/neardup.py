@@ -11,9 +11,10 @@
    connected are verified. In a larger one the pairs that made it a family are verified first; what they leave apart
    from its largest connected part is then verified against all of the family, in pairs of blocks. Only a spanning
    forest of the true links is written.
-4. Links meet in components by alternating large-star and small-star steps in tables. Copies need no pairs: they have
-   one node. Neither links nor components nor signatures come to the driver; a filter sized by the number of nodes
-   does, up to FILTERED nodes, and beyond them a join takes its place.
+4. Links meet in components: contracted to stars within a family or a batch, then by alternating large-star and
+   small-star steps in tables as long as they are not stars. Copies need no pairs: they have one node. Neither links
+   nor components nor signatures come to the driver; a filter sized by the number of nodes does, up to FILTERED nodes,
+   and beyond them a join takes its place.
 
 Rows of a bucket, a hub or a family meet its counts by the key and a salt, so that none of them is one task's.
 
@@ -174,23 +175,50 @@ def with_group(rows: DataFrame, key: str, member: str, *aggregates, least: int =
     return salted.join(groups, [key, "_salt"]).drop("_salt")
 
 
+def _roots(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """(a, b): each node with the smallest that it is connected with by edges between places a and b of `node`, which ascends."""
+    forest = Forest(len(node))
+    for x, y in zip(a.tolist(), b.tolist()):
+        forest.join(x, y)
+    root = np.array([forest.root(x) for x in range(len(node))], np.int64)
+    up = np.flatnonzero(root != np.arange(len(node)))
+    return pa.table({"a": pa.array(node[up], pa.int64()), "b": pa.array(node[root[up]], pa.int64())})
+
+
+def _contracted(batches):
+    """The edges of each batch as stars, each around its smallest node."""
+    for batch in batches:
+        if len(batch):
+            ends = np.concatenate([np.asarray(column(batch, "a")), np.asarray(column(batch, "b"))])
+            node, at = np.unique(ends, return_inverse=True)
+            yield from _roots(node, at[: len(batch)], at[len(batch) :]).to_batches()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether the edges (a > b) are stars already: no a has two b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up"), F.lit(False).alias("down")).union(edges.select("b", F.lit(None).cast("long"), F.lit(True)))
+    met = ends.groupBy("node").agg(F.min("up").alias("least"), F.max("up").alias("most"), F.max("down").alias("down"))
+    return met.filter("least <> most OR (least IS NOT NULL AND down)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of the edges (a, b); alternating large-star and small-star."""
+    """(node, root): the smallest node reachable, for each node of the edges (a, b).
+
+    Edges are contracted batch by batch; then alternating large-star and small-star, until what is left are stars. That
+    is asked before each round, and costs a fifth of one: a round is many stages, whose plans and tasks the driver holds.
+    """
     spent = []
-    held = scratch(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", spent)
-    seen = None
-    while True:
+    ship(edges.sparkSession)
+    apart = edges.filter("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long")
+    held = scratch(apart.distinct(), "edges", spent)
+    while not _are_stars(held):
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         met = with_group(both, "a", "b", F.least(F.min("b"), F.first("a")).alias("m"))
         large = met.filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         met = with_group(large, "a", "b", F.min("b").alias("m"))
         small = met.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(met.select("a", F.col("m").alias("b"))).distinct()
         held = scratch(small, "edges", spent)
-        now = tuple(held.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
         drop_scratch(held.sparkSession, spent, keep=1)  # a round needs the one before alone
-        if now == seen:
-            break
-        seen = now
     return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select(F.col("b"), F.col("b")).distinct())
 
 
@@ -395,8 +423,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
 
     def verify(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
-        order = np.arange(len(node))
-        return _pairs(node, order, linked(_sets(table["members"], order), threshold))
+        order = np.argsort(node)
+        got = np.array(linked(_sets(table["members"], order), threshold), np.int64).reshape(-1, 2)
+        return _roots(node[order], got[:, 0], got[:, 1])  # stars, which need no round of components()
 
     links = found.filter("blocks = 1").select("family", "node", "members").groupBy("family").applyInArrow(verify, "a long, b long")
     large = found.filter("blocks > 1")

@@ -531,6 +531,28 @@ def test_large_families_lose_no_link(spark, monkeypatch):
         assert by_row(neardup.near_duplicates(spark, df, 1), "n_shingles", "component_id") == want
 
 
+def test_components_take_rounds_only_for_what_are_not_stars(spark, monkeypatch):
+    """Each round is a table and many stages, whose plans and tasks the driver holds; stars and small chains need none."""
+    made, scratch = [], neardup.scratch
+    monkeypatch.setattr(neardup, "scratch", lambda df, name, spent=None: made.append(name) or scratch(df, name, spent))
+
+    def found(edges, parts):
+        made.clear()
+        got = neardup.components(spark.createDataFrame(edges, "a long, b long").repartition(parts)).collect()
+        want = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in want:
+            for a, b in edges:
+                if a != b:
+                    want[a] = want[b] = min(want[a], want[b])
+        assert sorted(map(tuple, got)) == sorted(want.items())
+        return len(made)
+
+    stars = [(x, x % 7 - 9) for x in range(200)] + [(-3, -3)]
+    chain = [(x, x + 1) for x in range(40)]
+    assert found(stars, 5) == found(stars, 1) == found(chain, 1) == 1
+    assert found([*chain, *[(1000, x) for x in range(50, 70)], (7, -1 << 62)], 8) > 1
+
+
 def test_nodes_that_share_a_hash_are_told_apart():
     sets = [np.arange(n, dtype=np.uint64) for n in (0, 1, 2, 3)]
     plain = neardup._nodes(sets)
