@@ -205,7 +205,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of the edges (a, b).
 
     Edges are contracted batch by batch; then alternating large-star and small-star, until what is left are stars. That
-    is asked before each round, and costs a fifth of one: a round is many stages, whose plans and tasks the driver holds.
+    is asked before each round, by one aggregate: a round is many stages, whose plans and tasks the driver holds.
     """
     spent = []
     ship(edges.sparkSession)
