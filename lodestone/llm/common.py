@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
@@ -138,6 +140,23 @@ def size_class(size: Column) -> Column:
     return (F.ceil(size / step) * step).cast("long")
 
 
+def _give_back() -> None:
+    """What was freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same function for mapInArrow(); its worker, which waits beside others for later tasks, keeps none of the task's memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return task
+
+
 def with_struct(df: DataFrame, name: str, fields: list[T.StructField], factory: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
     """Add a struct column made in Arrow batches; a column of that name is replaced, all others pass through untouched.
 
@@ -156,7 +175,7 @@ def with_struct(df: DataFrame, name: str, fields: list[T.StructField], factory:
             struct = pa.StructArray.from_arrays(make(batch), names=names)
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
-    return kept.mapInArrow(run, schema).toDF(*own, name)
+    return kept.mapInArrow(trimmed(run), schema).toDF(*own, name)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -27,29 +27,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, ship, slices, texts_of, with_struct
+from .common import column, ship, slices, texts_of, trimmed, with_struct
 
 PER_LANGUAGE, SAMPLE, LANDMARKS, MAX_LANGUAGES, RIDGE = 400, 20_000, 2048, 256, 1e-3
 #: Cells of a dense run of n-grams, and of a batch's presence matrix.
 CELLS = 1 << 23
-#: Letters keep their (lower-cased) byte, all other ASCII is one blank.
+#: Bytes as numbers without a gap, as tables have a place for each n-gram: blank (all ASCII but letters), letters (lower-cased), other bytes.
+LETTERS, SYMBOLS = 26, 1 + 26 + 128
 FOLD = np.zeros(256, np.uint32)
-FOLD[97:123] = np.arange(97, 123)
-FOLD[65:91] = np.arange(97, 123)
-FOLD[128:] = np.arange(128, 256)
+FOLD[97:123] = np.arange(1, LETTERS + 1)
+FOLD[65:91] = np.arange(1, LETTERS + 1)
+FOLD[128:] = np.arange(LETTERS + 1, SYMBOLS)
 
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
 def codes(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the n-grams of one, two and three bytes; three spaces of numbers."""
-    two = (folded[:-1] << np.uint32(8)) | folded[1:]
-    three = (two[:-1] << np.uint32(8)) | folded[2:]
-    return folded, two + np.uint32(1 << 8), three + np.uint32((1 << 8) + (1 << 16))
+    two = folded[:-1] * np.uint32(SYMBOLS) + folded[1:]
+    three = two[:-1] * np.uint32(SYMBOLS) + folded[2:]
+    return folded, two + np.uint32(SYMBOLS), three + np.uint32(SYMBOLS + SYMBOLS**2)
 
 
-TOP = (1 << 8) + (1 << 16) + (1 << 24)
-BLANK = np.array([0, 1 << 8, (1 << 8) + (1 << 16)])
+TOP = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+BLANK = np.array([0, SYMBOLS, SYMBOLS + SYMBOLS**2])
 
 
 @dataclass
@@ -93,8 +94,9 @@ class Presence:
                             self.last[c] = order  # the last of equal ones stays
                             distinct[r - a] += np.count_nonzero(self.last[c] == order) - int(self.last[BLANK[k]] > 0)
                             self.last[BLANK[k]] = 0
-                    letters[r - a] = bool(np.any((folded[at:end] > 0) & (folded[at:end] < 128))) or bool(end > at and folded[at:end].any() and any(ch.isalpha() for ch in data[at:end].tobytes().decode("utf-8", "replace")))
-                yield a, x[:, 1:] / np.sqrt(np.maximum(distinct, 1))[:, None], letters
+                    letters[r - a] = bool(np.any((folded[at:end] > 0) & (folded[at:end] <= LETTERS))) or bool(end > at and folded[at:end].any() and any(ch.isalpha() for ch in data[at:end].tobytes().decode("utf-8", "replace")))
+                x /= np.sqrt(np.maximum(distinct, 1))[:, None]
+                yield a, x[:, 1:], letters
 
 
 def _rows(texts: list[np.ndarray], low: int, high: int, place: np.ndarray) -> np.ndarray:
@@ -194,7 +196,7 @@ def train(docs: DataFrame, usable: Column) -> Model | None:
         bound = {lang: min(2**63 - 1, -(2**63) + int(share * most / counts[lang] * 2**64)) for lang in sorted(left)}
         below = F.col("h") <= F.element_at(F.create_map(*[F.lit(x) for item in bound.items() for x in item]), F.col("lang"))
         taken: dict[str, list[tuple[int, bytes]]] = {lang: [] for lang in left}
-        for r in rows.filter(F.col("lang").isin(*left) & below).mapInArrow(_smallest(most), "lang string, h long, grams binary").collect():
+        for r in rows.filter(F.col("lang").isin(*left) & below).mapInArrow(trimmed(_smallest(most)), "lang string, h long, grams binary").collect():
             taken[r["lang"]].append((r["h"], bytes(r["grams"])))
         done = {lang for lang in left if len(taken[lang]) >= min(most, counts[lang]) or bound[lang] == 2**63 - 1}
         sample |= {lang: sorted(taken[lang])[:most] for lang in done}

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, drop_scratch, join_copies, scratch, ship, slices, text_key, texts_of
+from .common import column, drop_scratch, join_copies, scratch, ship, slices, text_key, texts_of, trimmed
 from .words import LOWER, SOLID, bounds, grams, hashes, mix
 
 BANDS, ROWS = 40, 6
@@ -135,7 +135,7 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).mapInArrow(run, f"doc_id {kind}, _key binary, n_shingles long, node long, check long, signature binary")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("_key")).mapInArrow(trimmed(run), f"doc_id {kind}, _key binary, n_shingles long, node long, check long, signature binary")
 
 
 def _signatures(values: pa.Array) -> np.ndarray:
@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spent = []
     ship(edges.sparkSession)
-    apart = edges.filter("a <> b").select("a", "b").mapInArrow(_contracted, "a long, b long")
+    apart = edges.filter("a <> b").select("a", "b").mapInArrow(trimmed(_contracted), "a long, b long")
     held = scratch(apart.distinct(), "edges", spent)
     while not _are_stars(held):
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -231,7 +231,7 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
                 keys = band_keys(_signatures(column(batch, "signature")))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.asarray(column(batch, "node")), BANDS))], names=["bucket", "node"])
 
-    rows = nodes.mapInArrow(exploded, "bucket long, node long")
+    rows = nodes.mapInArrow(trimmed(exploded), "bucket long, node long")
     members = scratch(with_group(rows, "bucket", "node", F.min("node").alias("center"), F.count(F.lit(1)).alias("n"), least=2), "buckets")
     near = scratch(nodes.join(members.select("node").distinct(), "node", "left_semi"), "near")
 
@@ -243,7 +243,7 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
 
     pairs = members.filter("node <> center").select("node", "center").distinct()
     pairs = pairs.join(near, "node").join(near.select(F.col("node").alias("center"), F.col("signature").alias("other")), "center")
-    pairs = scratch(pairs.select(F.col("node").alias("a"), F.col("center").alias("b"), "signature", "other").mapInArrow(compared, "a long, b long, ok boolean"), "stars")
+    pairs = scratch(pairs.select(F.col("node").alias("a"), F.col("center").alias("b"), "signature", "other").mapInArrow(trimmed(compared), "a long, b long, ok boolean"), "stars")
     edges = pairs.filter("ok").select("a", "b")
     apart = pairs.filter("NOT ok").select(F.col("a").alias("node"), F.col("b").alias("center"))
     if apart.isEmpty():
@@ -418,7 +418,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, threshold:
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([rows[node].tobytes() for node in kept], pa.binary())], names=["node", "members"])
 
-    found = asked.mapInArrow(sets_of, "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    found = asked.mapInArrow(trimmed(sets_of), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
     found = scratch(found.join(families, "node"), "members")
 
     def verify(table: pa.Table) -> pa.Table:

@@ -227,6 +227,39 @@ def test_presence_is_that_of_sets():
     assert letters.tolist() == [True, True, False, False, True]
 
 
+def test_language_tables_have_a_place_for_each_gram_and_no_more():
+    """Two tables over all n-grams in each worker: numbers of n-grams have no gaps, and different n-grams different numbers."""
+    presence = langid.Presence(np.zeros(0, np.int64))
+    assert presence.table.nbytes + presence.last.nbytes < 32e6
+    folded = langid.FOLD[np.random.default_rng(3).integers(0, 256, 20_000)]
+    got = [c[:-2] if k < 2 else c for k, c in enumerate(langid.codes(np.r_[folded, np.zeros(2, np.uint32)]))]
+    whole = {(k, tuple(folded[i : i + k + 1].tolist())) for k in range(3) for i in range(len(folded) - k)}
+    numbers = {(k, int(c)) for k in range(3) for c in got[k][: len(folded) - k]}
+    assert len(whole) == len(numbers) == len({n for _, n in numbers}) and max(n for _, n in numbers) < langid.TOP
+    last = langid.codes(np.full(3, langid.SYMBOLS - 1, np.uint32))
+    assert [int(c[0]) for c in last] == [langid.BLANK[1] - 1, langid.BLANK[2] - 1, langid.TOP - 1]
+
+
+def test_tasks_give_their_memory_back_once_they_hold_none(monkeypatch):
+    import gc
+    import weakref
+
+    from lodestone.llm import common
+
+    held, seen = [], []
+
+    def run(batches):
+        own = np.zeros(1000)
+        held.append(weakref.ref(own))
+        yield from batches
+
+    monkeypatch.setattr(common, "_give_back", lambda: seen.append(held[0]() is None))
+    assert list(common.trimmed(run)(iter([1, 2]))) == [1, 2] and seen == [True]
+    monkeypatch.undo()
+    gc.collect()
+    assert list(common.trimmed(run)(iter([]))) == []  # and the real call does no harm
+
+
 def test_language_is_plain_kernel_ridge(monkeypatch):
     """All sample texts as landmarks: the same scores as kernel ridge regression on sets, solved in the Nyström features."""
     import pyarrow as pa
