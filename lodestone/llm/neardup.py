@@ -11,10 +11,10 @@
    connected are verified. In a larger one the pairs that made it a family are verified first; what they leave apart
    from its largest connected part is then verified against all of the family, in pairs of blocks. Only a spanning
    forest of the true links is written.
-4. Links meet in components: contracted to stars within a family or a batch, then by alternating large-star and
-   small-star steps in tables as long as they are not stars. Copies need no pairs: they have one node. Neither links
-   nor components nor signatures come to the driver; a filter sized by the number of nodes does, up to FILTERED nodes,
-   and beyond them a join takes its place.
+4. Links meet in components: contracted to stars within a family or a batch, then, up to GATHERED links, all in one
+   task; beyond them by alternating large-star and small-star steps in tables, as long as they are not stars and not
+   few enough. Copies need no pairs: they have one node. Neither links nor components nor signatures come to the driver;
+   a filter sized by the number of nodes does, up to FILTERED nodes, and beyond them a join takes its place.
 
 Rows of a bucket, a hub or a family meet its counts by the key and a salt, so that none of them is one task's.
 
@@ -47,6 +47,8 @@ BUCKET_BLOCK, FAMILY_BLOCK, FAMILY_BYTES = 1024, 1024, 32 << 20
 CHUNK = 1 << 15
 #: Up to so many nodes in families a filter (two bytes a node, 64 MB at most) goes to the executors; beyond, a join.
 FILTERED = 1 << 25
+#: Up to so many contracted links (16 MB) meet in one task; beyond, rounds of many stages contract them.
+GATHERED = 1 << 20
 SALTS = 64
 #: Where a node's bits choose a word and a bit of it, twice.
 FILTER_BITS = ((0, 40), (20, 46))
@@ -194,6 +196,40 @@ def _contracted(batches):
             yield from _roots(node, at[: len(batch)], at[len(batch) :]).to_batches()
 
 
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of the edges, ascending, and the smallest that each is connected with."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, up = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(up, further := up[up]):
+            up = further
+        x, y = up[x], up[y]
+        left = x != y
+        x, y = x[left], y[left]
+    return node, node[up]
+
+
+def _ends(batches) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of all batches of a task."""
+    held = [(np.asarray(column(batch, "a")), np.asarray(column(batch, "b"))) for batch in batches]
+    return tuple(np.concatenate([np.zeros(0, np.int64), *ends]) for ends in (zip(*held) if held else ((), ())))
+
+
+def _gathered(batches):
+    """(node, root) of all nodes of a task's edges."""
+    node, root = _least(*_ends(batches))
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
+
+
+def _unlike_stars(batches):
+    """A row if a task's edges (a > b) are not stars."""
+    a, b = _ends(batches)
+    node, root = _least(a, b)
+    if (root[np.searchsorted(node, a)] != b).any():
+        yield pa.RecordBatch.from_pydict({"a": a[:1]})
+
+
 def _are_stars(edges: DataFrame) -> bool:
     """Whether the edges (a > b) are stars already: no a has two b, and no b is an a."""
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up"), F.lit(False).alias("down")).union(edges.select("b", F.lit(None).cast("long"), F.lit(True)))
@@ -204,14 +240,15 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for each node of the edges (a, b).
 
-    Edges are contracted batch by batch; then alternating large-star and small-star, until what is left are stars. That
-    is asked before each round, by one aggregate: a round is many stages, whose plans and tasks the driver holds.
+    Edges are contracted batch by batch, and up to GATHERED are then one task's. More of them go through alternating
+    large-star and small-star, until what is left are stars, or few enough. That is asked before each round, by one
+    aggregate: a round is many stages, whose plans and tasks the driver holds.
     """
     spent = []
     ship(edges.sparkSession)
     apart = edges.filter("a <> b").select("a", "b").mapInArrow(trimmed(_contracted), "a long, b long")
-    held = scratch(apart.distinct(), "edges", spent)
-    while not _are_stars(held):
+    held = scratch(apart, "edges", spent)
+    while not (few := held.count() <= GATHERED) and not _are_stars(held):
         both = held.union(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         met = with_group(both, "a", "b", F.least(F.min("b"), F.first("a")).alias("m"))
         large = met.filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -219,7 +256,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = met.filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).union(met.select("a", F.col("m").alias("b"))).distinct()
         held = scratch(small, "edges", spent)
         drop_scratch(held.sparkSession, spent, keep=1)  # a round needs the one before alone
-    return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select(F.col("b"), F.col("b")).distinct())
+    if few:
+        one = held.coalesce(1)
+        roots = one.mapInArrow(trimmed(_gathered), "node long, root long")
+        return roots if one.mapInArrow(trimmed(_unlike_stars), "a long").isEmpty() else scratch(roots, "roots")
+    return held.select(F.col("a").alias("node"), F.col("b").alias("root")).union(held.select("b", "b")).distinct()
 
 
 def _families(nodes: DataFrame, least: float) -> DataFrame:
@@ -241,7 +282,7 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
                 same = (_signatures(column(batch, "signature")) == _signatures(column(batch, "other"))).mean(axis=1)
                 yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(same >= least)], names=["a", "b", "ok"])
 
-    pairs = members.filter("node <> center").select("node", "center").distinct()
+    pairs = members.filter("node <> center").select("node", "center").repartition("node").distinct()  # dealt as the join asks
     pairs = pairs.join(near, "node").join(near.select(F.col("node").alias("center"), F.col("signature").alias("other")), "center")
     pairs = scratch(pairs.select(F.col("node").alias("a"), F.col("center").alias("b"), "signature", "other").mapInArrow(trimmed(compared), "a long, b long, ok boolean"), "stars")
     edges = pairs.filter("ok").select("a", "b")
@@ -249,13 +290,11 @@ def _families(nodes: DataFrame, least: float) -> DataFrame:
     if apart.isEmpty():
         return edges
     # The nodes apart from their bucket's center meet all others of the bucket, block by block.
-    odd = members.join(apart, ["node", "center"]).select("bucket", "node")
-    odd = scratch(odd.withColumn("odd", F.lit(True)), "odd")
+    flagged = members.join(apart.withColumn("odd", F.lit(True)), ["node", "center"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    met = with_group(flagged.select("bucket", "node", "n", "odd"), "bucket", "node", F.sum(F.col("odd").cast("long")).alias("n_odd"))
+    mixed = scratch(met.filter("n_odd > 0"), "odd")
     blocks = F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")
-    sizes = odd.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_odd")).join(members.filter("node = center").select("bucket", "n"), "bucket")
-    sizes = sizes.select("bucket", "n_odd", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    mixed = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(sizes, ["bucket", "block"])
-    mixed = mixed.join(odd, ["bucket", "node"], "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
+    mixed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     sides = F.ceil(F.col("n_odd") / BUCKET_BLOCK).cast("int")
     mixed = mixed.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), sides).cast("int"))
     base = mixed.select("bucket", "node", "odd", "block", F.explode(F.sequence(F.lit(0), sides - 1)).alias("side"), F.lit(False).alias("probe"))
@@ -338,7 +377,7 @@ def _pairs(node: np.ndarray, order: np.ndarray, got: list[tuple[int, int]]) -> p
 def _large_links(large: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """Links of families beyond a block. large: family, node, members, n, blocks; edges: the pairs that made the families."""
     percent = round(threshold * 100)
-    near = edges.select(F.col("a").alias("node"), F.col("b").alias("center")).filter("node <> center").distinct().join(large.select("node"), "node", "left_semi")
+    near = edges.select(F.col("a").alias("node"), F.col("b").alias("center")).filter("node <> center").repartition("node").distinct().join(large.select("node"), "node", "left_semi")
     near = with_group(near, "center", "node", F.count(F.lit(1)).alias("degree"))
     near = near.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("degree") / FAMILY_BLOCK)).cast("int")).select("node", "center", "part")
     sets = large.select("node", "members")

@@ -586,6 +586,28 @@ def test_components_take_rounds_only_for_what_are_not_stars(spark, monkeypatch):
     assert found([*chain, *[(1000, x) for x in range(50, 70)], (7, -1 << 62)], 8) > 1
 
 
+def test_few_links_meet_without_rounds(spark, monkeypatch):
+    """A round costs some thousand tasks whatever it holds; up to GATHERED links need none, and more have the same components."""
+    draw, asked, are_stars = np.random.default_rng(8), [], neardup._are_stars
+    monkeypatch.setattr(neardup, "_are_stars", lambda edges: asked.append(1) or are_stars(edges))
+    a, b = draw.integers(-300, 300, (2, 260))
+    edges = [*zip(a.tolist(), b.tolist()), *[(x, x + 1) for x in range(1000, 1060)], *[(5000, x) for x in range(2000, 2050)], (-1 << 63, (1 << 63) - 1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6).persist()
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for x, y in edges:
+            if x != y:
+                want[x] = want[y] = min(want[x], want[y])
+    for most in (neardup.GATHERED, 40, 0):
+        asked.clear()
+        monkeypatch.setattr(neardup, "GATHERED", most)
+        assert sorted(map(tuple, neardup.components(df).collect())) == sorted(want.items())
+        assert (len(asked) > 1) == (most < 100)
+    none = df.filter("a = b")
+    assert neardup.components(none).count() == 0
+    df.unpersist()
+
+
 def test_nodes_that_share_a_hash_are_told_apart():
     sets = [np.arange(n, dtype=np.uint64) for n in (0, 1, 2, 3)]
     plain = neardup._nodes(sets)
